@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from spanforge.llm import langid
+from spanforge.llm import langid, merkle, quality
 
 
 def queries():
     return {
+        "op4_quality_rules": quality.op4_quality_rules,
+        "op9_fingerprints": merkle.op9_fingerprints,
         "op10_language_id": langid.op10_language_id,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_fingerprints": merkle.OP9_SQL}

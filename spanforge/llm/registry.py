@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from spanforge.llm import langid, merkle, quality
+from spanforge.llm import langid, merkle, packing, quality, tokens
 
 
 def queries():
     return {
+        "op1_token_counts": tokens.op1_token_counts,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op4_quality_rules": quality.op4_quality_rules,
         "op9_fingerprints": merkle.op9_fingerprints,
         "op10_language_id": langid.op10_language_id,

@@ -50,7 +50,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-class _Units(dict):
+class Units(dict):
     """Unit to packed ids, filled on first use; None for a unit that cannot be encoded alone."""
 
     def __init__(self, pack, limit: int):
@@ -73,6 +73,17 @@ class _Units(dict):
         return packed
 
 
+def encode_by_units(text: str, pack, unit) -> bytes:
+    """Packed ids of a text that is not empty, by units where its white space allows it and else as a whole."""
+    first, *rest = text.replace("\n", " \n").split(" ")
+    if not first or first[0].isspace() or first[-1].isspace():
+        return pack(text)
+    try:
+        return pack(first) + b"".join(map(unit, rest))
+    except TypeError:
+        return pack(text)
+
+
 class UnitEncoder:
     """Text to packed little-endian 32-bit ids, with units remembered."""
 
@@ -83,7 +94,7 @@ class UnitEncoder:
         self.json_path = json_path or tokenizer_path("byte_bpe_50k.json")
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(ranks_path or tokenizer_path("byte_bpe_50k.tiktoken")), special_tokens={})
         self.ids = encoding.encode_ordinary
-        self.unit = _Units(self._pack, memo).__getitem__
+        self.unit = Units(self._pack, memo).__getitem__
         self.library = None
 
     def _pack(self, text: str) -> bytes:
@@ -98,13 +109,7 @@ class UnitEncoder:
 
                 self.library = Tokenizer.from_file(self.json_path)
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        first, *rest = text.replace("\n", " \n").split(" ")
-        if not first or first[0].isspace() or first[-1].isspace():
-            return self._pack(text)
-        try:
-            return self._pack(first) + b"".join(map(self.unit, rest))
-        except TypeError:
-            return self._pack(text)
+        return encode_by_units(text, self._pack, self.unit)
 
 
 _encoder: UnitEncoder | None = None

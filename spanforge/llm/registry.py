@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanforge.llm import bpe, langid, merkle, packing, quality, simhash, tokens
+from spanforge.llm import bpe, langid, merkle, packing, quality, simhash, suffix, tokens
 
 
 def queries():
     return {
         "op1_token_counts": tokens.op1_token_counts,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op7_bpe_codec": bpe.op7_bpe_codec,

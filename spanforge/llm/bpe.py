@@ -2,14 +2,12 @@
 
 A sequence of tokens is the encoding of its bytes exactly if every pair of
 neighbours is the encoding of the two tokens' bytes. So after each byte just one
-token sequence encodes what was read. The transducer reads bytes and holds, as
-its state, all hypotheses about the token being read: a node of the
-vocabulary's trie and the tokens settled before it. A hypothesis dies when no
-token continues with the next byte; tokens that all living hypotheses share are
-emitted. As a hypothesis lives no longer than the longest token, the lookahead
-is bounded. States are made when first reached and their moves remembered, so
-the merges are compiled as far as the texts need them. Settled tokens that later
-pairs do not depend on are no part of a state.
+token sequence encodes what was read, and its last token is found among the
+tokens that end there by a test of one pair. The transducer reads bytes and
+follows all hypotheses about the current token at once; its states and moves
+are made when first reached, so the merges are compiled as far as the texts need
+them. A hypothesis lives no longer than the longest token, so the lookahead is
+bounded and long inputs are emitted as they are read.
 
 A match of the pattern that is itself a token is that token, as in the public
 library. Decoding is by ids; ``Utf8Decoder`` takes bytes in any portions and
@@ -30,9 +28,9 @@ from pyspark.sql import types as T
 from spanforge.llm.common import append_columns, documents
 from spanforge.llm.tokens import Units, encode_by_units, load_ranks, tokenizer_path
 
-#: Units of text whose ids are remembered, and transducer moves, before either is built anew.
-MEMO_UNITS = 500_000
-MEMO_MOVES = 200_000
+#: Units of text whose ids are remembered, and pairs of tokens, before either is built anew.
+MEMO_UNITS = 1_000_000
+MEMO_PAIRS = 1_000_000
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[int]:
@@ -50,36 +48,38 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[in
 class Transducer:
     """Bytes to token ids with bounded lookahead.
 
-    A state is a tuple of hypotheses ``(pending, node)``: ``pending`` are the
-    tokens not yet emitted, the first of them the last one emitted (or -1 at the
-    start), which the next pair needs. The last hypothesis has the root as node
-    and is the encoding of all that was read.
+    The hypotheses about the token being read are the suffixes of the input that
+    are paths of the vocabulary's trie. All of them follow from the longest, so
+    a set of hypotheses is one state: that trie node. Its moves and the tokens that end
+    in it are worked out when first needed. After each byte the output is the last
+    token of the encoding so far: the one token ending here that fits the
+    encoding of what stands before it. Tokens are settled where the encodings at
+    all starts of living hypotheses agree, at most one token length behind.
     """
 
-    def __init__(self, ranks: dict[bytes, int], moves: int = MEMO_MOVES):
+    #: Bytes after which settled tokens are emitted.
+    span = 4096
+
+    def __init__(self, ranks: dict[bytes, int], pairs: int = MEMO_PAIRS):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.limit = moves
+        self.limit = pairs
         self.child: dict[int, int] = {}
         self.token_at: list[int] = [-1]
-        self.inner: list[bool] = [False]
+        self.depth: list[int] = [0]
         for piece, number in ranks.items():
             node = 0
             for byte in piece:
-                self.inner[node] = True
                 at = self.child.setdefault(node << 8 | byte, len(self.token_at))
                 if at == len(self.token_at):
                     self.token_at.append(-1)
-                    self.inner.append(False)
+                    self.depth.append(self.depth[node] + 1)
                 node = at
             self.token_at[node] = number
+        self.shorter: dict[int, int] = {0: 0}
+        self.ends: dict[int, tuple[tuple[int, int], ...]] = {0: ()}
+        self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.states: list[tuple] = [(((-1,), 0),)]
-        self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.pairs: dict[int, bool] = {}
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -95,7 +95,7 @@ class Transducer:
         return self.halves[token]
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the pair is the encoding of its bytes (of the right token alone at the start).
+        """Whether the pair is the encoding of its bytes; anything fits the start (-1).
 
         Merges are undone from the latest on. At each step the two parts that
         meet must not merge before the merge just undone; on equal ranks the
@@ -104,7 +104,9 @@ class Transducer:
         key = (left + 1) << 32 | right
         found = self.pairs.get(key)
         if found is None:
-            found = self.pairs[key] = self._halves(right) is not None and (left < 0 or self._apart(left, right))
+            if len(self.pairs) >= self.limit:
+                self.pairs.clear()
+            found = self.pairs[key] = left < 0 or self._apart(left, right)
         return found
 
     def _apart(self, x: int, y: int) -> bool:
@@ -121,53 +123,72 @@ class Transducer:
             else:
                 limit, y = y + 1, outer
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        child, token_at, inner, pairs = self.child, self.token_at, self.inner, self.pairs
-        living, done = [], None
-        for pending, node in self.states[state]:
-            node = child.get(node << 8 | byte)
-            if node is None:
-                continue
-            token = token_at[node]
-            if token >= 0 and done is None:
-                fits = pairs.get((pending[-1] + 1) << 32 | token)
-                if self.fits(pending[-1], token) if fits is None else fits:
-                    done = (*pending, token)
-            if inner[node]:
-                living.append((pending, node))
-        if done is None:
-            raise ValueError("a byte has no token of its own")
-        if not living:
-            emitted, after = done[1:], ((done[-1:], 0),)
-        else:
-            living.append((done, 0))
-            first, keep = living[0][0], 0
-            if len(first) > 1:
-                shared = min(len(p) for p, _ in living)
-                while keep + 1 < shared and all(p[keep + 1] == first[keep + 1] for p, _ in living):
-                    keep += 1
-            emitted = first[1 : keep + 1]
-            after = tuple([(p[keep:], node) for p, node in living]) if keep else tuple(living)
-        number = self.number.get(after)
-        if number is None:
-            number = self.number[after] = len(self.states)
-            self.states.append(after)
-        self.moves[state << 8 | byte] = found = (number, emitted)
+    def _next(self, node: int, byte: int) -> int:
+        """The longest suffix of the node's path and ``byte`` that is a path."""
+        at = node
+        while True:
+            found = self.child.get(at << 8 | byte)
+            if found is not None:
+                break
+            if not at:
+                raise ValueError("a byte has no token of its own")
+            at = self.shorter[at]
+        if found not in self.shorter:
+            self.shorter[found] = self._next(self.shorter[at], byte) if at else 0
+            rest = self._ends(self.shorter[found])
+            token = self.token_at[found]
+            self.ends[found] = ((token, self.depth[found]), *rest) if token >= 0 and self._halves(token) is not None else rest
+        return found
+
+    def _ends(self, node: int) -> tuple[tuple[int, int], ...]:
+        return self.ends[node]
+
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        after = self._next(state, byte)
+        found = self.moves[state << 8 | byte] = (after, self.ends[after])
         return found
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pattern match."""
-        if len(self.moves) > self.limit:
-            self._reset()
         out: list[int] = []
-        state, moves = 0, self.moves
+        state, moves, pairs = 0, self.moves, self.pairs
+        # tokens[i]: the last token of the encoding of the first i bytes held
+        tokens = [-1]
         for byte in piece:
             found = moves.get(state << 8 | byte)
-            state, emitted = found if found is not None else self._move(state, byte)
-            if emitted:
-                out += emitted
-        out.extend(self.states[state][-1][0][1:])
-        return out
+            state, ends = found if found is not None else self._move(state, byte)
+            for token, size in ends:
+                before = tokens[-size]
+                fit = pairs.get((before + 1) << 32 | token)
+                if self.fits(before, token) if fit is None else fit:
+                    tokens.append(token)
+                    break
+            else:
+                raise ValueError("bytes without an encoding")
+            if len(tokens) > self.span:
+                settled = self._settled(tokens, self.depth[state])
+                if settled:
+                    out += self._chain(tokens, settled)
+                    del tokens[:settled]
+        return out + self._chain(tokens, len(tokens) - 1)
+
+    def _chain(self, tokens: list[int], at: int) -> list[int]:
+        out = []
+        while at:
+            out.append(tokens[at])
+            at -= len(self.bytes_of[tokens[at]])
+        return out[::-1]
+
+    def _settled(self, tokens: list[int], reach: int) -> int:
+        """The last place at which the encodings at all living starts have a token end."""
+        starts = set(range(len(tokens) - 1 - reach, len(tokens)))
+        while len(starts) > 1:
+            last = max(starts)
+            if not last:
+                break
+            starts.remove(last)
+            starts.add(last - len(self.bytes_of[tokens[last]]))
+        return starts.pop()
 
 
 class BpeCodec:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import bpe, langid, merkle, packing, quality, simhash, suffix, tokens
+from spanforge.llm import bpe, langid, merkle, packing, quality, simhash, suffix, tokens, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_token_counts": tokens.op1_token_counts,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op7_bpe_codec": bpe.op7_bpe_codec,

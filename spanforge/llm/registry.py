@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import bpe, langid, merkle, packing, quality, simhash, suffix, tokens, toxicity
+from spanforge.llm import bpe, langid, merkle, packing, pii, quality, simhash, suffix, tokens, toxicity
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op7_bpe_codec": bpe.op7_bpe_codec,
+        "op8_personal_data": pii.op8_personal_data,
         "op9_fingerprints": merkle.op9_fingerprints,
         "op10_language_id": langid.op10_language_id,
     }

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from spanforge.plans import markdown_queries
+
+_MODULES = [markdown_queries]
+
 
 def flagship(spark, sf_dir):
     raise NotImplementedError
 
 
 def queries():
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

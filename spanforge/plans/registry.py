@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from spanforge.plans import markdown_queries
+from spanforge.plans import evaluation_queries, markdown_queries, retrieval_queries
 
-_MODULES = [markdown_queries]
+_MODULES = [markdown_queries, retrieval_queries, evaluation_queries]
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return retrieval_queries.bm25_topk(spark, sf_dir)
 
 
 def queries():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as X
+from spanforge.operators import chunking
 from spanforge.operators import markdown as M
 from spanforge.session import read_table
 
@@ -198,3 +199,20 @@ b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<h1[^>]*>', chr(10)
 c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)</?(p|div|article|h1|ul|ol|body|head|html|title)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS h FROM b),
 d AS (SELECT page_id, regexp_replace(h, '[ \\t]*\\n[ \\t\\n]*', chr(10) || chr(10), 'g') AS h FROM c) SELECT page_id, {_STRIP.format('h')} AS markdown FROM d""",
 }
+
+
+def _chunked(spark, sf_dir):
+    return chunking.chunk_books(book_markdown(spark, sf_dir))
+
+
+def chunk_parents(spark, sf_dir):
+    """Parents of every book, by the folds."""
+    return chunking.parents_of(_chunked(spark, sf_dir))
+
+
+def chunk_children(spark, sf_dir):
+    """Children of every book, by the folds."""
+    return chunking.children_table(_chunked(spark, sf_dir))
+
+
+QUERIES |= {f.__name__: f for f in (chunk_parents, chunk_children)}

@@ -384,9 +384,10 @@ def _single_strings(contexts: DataFrame, window: int) -> DataFrame:
 
 
 def keyed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns with ``uid`` (place in the stored table), ``k1``, ``k2`` (hashes of the bytes) and ``body``."""
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.withColumn("body", body).withColumns({"uid": F.monotonically_increasing_id(), "k1": F.xxhash64("body"), "k2": F.xxhash64(F.lit(1), F.col("body"))})
+    """(row, uid, k1, k2, body): all columns as one struct, the row's place in the stored table, hashes of the bytes, and the bytes."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("body"))
+    return rows.select("row", F.monotonically_increasing_id().alias("uid"), F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), F.col("body")).alias("k2"), "body")
 
 
 def repeated_spans(keyed: DataFrame, *, window: int = WINDOW, crowded: int = CROWDED) -> DataFrame:
@@ -417,9 +418,10 @@ def repeated_spans(keyed: DataFrame, *, window: int = WINDOW, crowded: int = CRO
     return texts.where("leads or whole").join(spans, "uid", "left").where("whole or spans is not null").select("uid", "k1", "whole", "spans")
 
 
-def _joined(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``rows`` (uid, k1, ...) with ``whole`` and ``spans``; an error where a place holds another text than before."""
     spans = materialise(spans.withColumnRenamed("k1", "_k1"), "spans")
-    joined = keyed.join(spans, "uid", "left")
+    joined = rows.join(spans, "uid", "left")
     moved = F.col("_k1").isNotNull() & (F.col("_k1") != F.col("k1"))
     return joined.withColumn("whole", F.when(moved, F.raise_error(F.lit("the table's rows changed places")).cast("boolean")).otherwise(F.col("whole")))
 
@@ -440,7 +442,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WIN
     A column ``n_chars`` is set to the new length.
     """
     keyed = keyed_texts(docs, text_col)
-    joined = _joined(keyed, repeated_spans(keyed, window=window))
+    joined = _joined(keyed.select("row", "uid", "k1"), repeated_spans(keyed, window=window))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
@@ -453,14 +455,15 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WIN
                 cols[at] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    cut = joined.select(*[F.col(f"`{c}`") for c in names], "whole", "spans").mapInArrow(run, docs.schema)
+    fields = [F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)]
+    cut = joined.select(*fields, "whole", "spans").mapInArrow(run, docs.schema)
     return cut.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut
 
 
 def op2_suffix_array_dedup(spark, sf_dir):
     """Contract query: bytes removed from each document and the digest of what is left."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    keyed = keyed_texts(docs).select("doc_id", "uid", "k1", "k2", "body")
+    keyed = keyed_texts(docs).select(F.col("row.doc_id").alias("doc_id"), "uid", "k1", "k2", "body")
     joined = _squeezed_join(keyed, repeated_spans(keyed))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -484,7 +487,6 @@ def op2_suffix_array_dedup(spark, sf_dir):
 
 def _squeezed_join(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, z, whole, spans) of every row."""
-    spans = materialise(spans.withColumnRenamed("k1", "_k1"), "spans")
 
     def run(batches):
         import zstandard
@@ -496,7 +498,4 @@ def _squeezed_join(keyed: DataFrame, spans: DataFrame) -> DataFrame:
 
     schema = T.StructType([keyed.schema["doc_id"], T.StructField("uid", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("z", T.BinaryType())])
     rows = keyed.select("doc_id", "uid", "k1", "body").mapInArrow(run, schema)
-    joined = rows.join(spans, "uid", "left")
-    moved = F.col("_k1").isNotNull() & (F.col("_k1") != F.col("k1"))
-    whole = F.when(moved, F.raise_error(F.lit("the table's rows changed places")).cast("boolean")).otherwise(F.col("whole"))
-    return joined.select("doc_id", "z", whole.alias("whole"), "spans")
+    return _joined(rows, spans).select("doc_id", "z", "whole", "spans")

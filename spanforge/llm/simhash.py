@@ -232,22 +232,23 @@ def _compared(filed: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(fps: DataFrame, *, id_col: str = "doc_id", fp: str = "fp", radius: int = RADIUS) -> DataFrame:
-    """All rows of a stored table of fingerprints with ``component_id``, the smallest id reachable over links."""
+    """All rows of a stored table of fingerprints with ``component_id``, the smallest id reachable over links, and ``root``, its component's own mark (ids may repeat)."""
     classes = fps.groupBy(fp).agg(F.min(id_col).alias("_first"))
     roots = connected_components(links(classes, fp=fp, radius=radius))
     named = classes.join(roots, classes[fp] == roots["node"], "left").select(F.col(fp).alias("_v"), F.coalesce("root", F.col(fp)).alias("_root"), "_first")
     names = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    whole = materialise(named.join(names, "_root").select("_v", "component_id"), "components")
+    whole = materialise(named.join(names, "_root").select("_v", "component_id", F.col("_root").alias("root")), "components")
     return fps.join(whole, fps[fp] == whole["_v"]).drop("_v")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WORDS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row of least id stays, of equal ids one."""
-    names = docs.columns
-    stored = materialise(fingerprints(docs, text_col=text_col, out="_fp", width=width).withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
-    grouped = near_duplicates(stored.select(F.col(id_col).alias("doc_id"), "_row", F.col("_fp").alias("fp")), radius=radius)
-    kept = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
-    return stored.join(kept, "_row", "left_semi").select(*names)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    marked = fingerprints(rows, width=width).select("row", "fp", F.monotonically_increasing_id().alias("place"))
+    stored = materialise(marked, "fingerprints")
+    grouped = near_duplicates(stored.select(F.col("row").getField(id_col).alias("doc_id"), "place", "fp"), radius=radius)
+    kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("best")).select(F.col("best.place").alias("place"))
+    return stored.join(kept, "place", "left_semi").select("row.*")
 
 
 def op6_simhash_near_dedup(spark, sf_dir):

@@ -41,6 +41,8 @@ BLOCK = 64
 RATES = (0, 1 / 256, 1 / 128, 1 / 64)
 BEGINNINGS = (5, 6, 7)
 THRESHOLD = 0.7
+#: Least chi-squared of a term (one degree of freedom).
+SIGNIFICANT = 15.0
 #: Weight of the overall share in every vote.
 _PRIOR = 0.1
 
@@ -202,9 +204,9 @@ def fit_index(docs: DataFrame, labels: DataFrame, train=None, *, id_col: str = "
     counts = sample.select("t", "y").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b")).where("a + b >= 4")
     a, b = F.col("a"), F.col("b")
     lean = b * n0 - a * n1
-    chi = lean * lean / F.greatest((a + b) * (n0 + n1 - a - b), F.lit(1.0))
-    # only terms that lean to the label 1: the rest of a text says nothing of its toxicity
-    best = counts.where(lean > 0).orderBy(chi.desc(), "term").limit(vocabulary)
+    chi = (n0 + n1) * lean * lean / F.greatest((a + b) * (n0 + n1 - a - b) * F.lit(float(n0) * n1), F.lit(1.0))
+    # only terms that lean to the label 1 beyond chance: the rest of a text says nothing of its toxicity
+    best = counts.where((lean > 0) & (chi >= SIGNIFICANT)).orderBy(chi.desc(), "term").limit(vocabulary)
     names = sorted(r["term"] for r in best.collect())
     at = {t: i for i, t in enumerate(names)}
     stems_ = {t.rsplit("@", 1)[0] for t in names}

@@ -287,7 +287,10 @@ def redact(docs: DataFrame, tagger: Tagger | None, *, text_col: str = "text") ->
 
         return run
 
-    out = append_columns(docs, text_col, [("_redacted", T.StringType())], make).drop(text_col).withColumnRenamed("_redacted", text_col)
+    fresh = "redacted"
+    while fresh in names:
+        fresh += "_"
+    out = append_columns(docs, text_col, [(fresh, T.StringType())], make).drop(text_col).withColumnRenamed(fresh, text_col)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

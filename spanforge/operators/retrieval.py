@@ -76,14 +76,14 @@ def mean_vector(vectors: DataFrame, by: str, column: str) -> DataFrame:
 def dense_leg(queries: DataFrame, points: DataFrame, k: int = 50, *, item: str = "id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank) by cosine: a block of queries against all points in Arrow batches.
 
-    ``queries`` (query_id, vector) are at most ``MAX_QUERIES`` rows, which is checked; each task
-    gives its own ``k`` best, so what is ranked in the end is tasks x ``k`` rows a query.
+    ``queries`` (query_id, vector) are at most ``MAX_QUERIES`` rows, which is checked; each
+    batch gives its own ``k`` best, so what is ranked in the end is batches x ``k`` rows a query.
     """
     held = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
     if len(held) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
     ids = [r["query_id"] for r in held]
-    q = np.array([r["vector"] for r in held], dtype=np.float64).reshape(len(held), -1)
+    q = np.array([r["vector"] for r in held], dtype=np.float64).reshape(len(held), len(held[0]["vector"]) if held else 0)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     points = points.select(F.col(item).alias("id"), F.col(vector).alias("v")).where("v is not null")
 

@@ -65,15 +65,20 @@ class _Markdown(HTMLParser):
             self.out.append("\n\n")
 
     def handle_data(self, data):
-        if not self.skip:
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+        if self.skip:
+            return
+        if not self.pre:
+            data = re.sub(r"\s+", " ", data)
+            if not self.out or self.out[-1].endswith("\n"):
+                data = data.lstrip()
+        self.out.append(data)
 
 
 def html_to_markdown(content: bytes) -> str:
     parser = _Markdown()
     parser.feed(content.decode("utf-8", "replace"))
     parser.close()
-    text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(parser.out))
+    text = re.sub(r"[ \t]+\n", "\n", "".join(parser.out))
     return re.sub(r"\n{3,}", "\n\n", text).strip() + "\n"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from spanforge.api import KnowledgeBase
+from spanforge.api import DocumentStore
 from spanforge.config import EngineConfig
 from spanforge.session import get_session
 
@@ -24,7 +24,7 @@ def main(args: list[str] | None = None) -> int:
     search.add_argument("--top-k", type=int, default=5)
     search.add_argument("--book")
     given = parser.parse_args(args)
-    kb = KnowledgeBase(get_session(given.master), given.root, EngineConfig.from_env())
+    kb = DocumentStore(get_session(given.master), given.root, EngineConfig.from_env())
     if given.verb in ("ingest", "build"):
         for row in getattr(kb, given.verb)(given.folder).collect():
             print(f"failed: {row['slug']}: {row['error']}")

@@ -1,4 +1,4 @@
-"""A knowledge base on stored tables: build it, search batches of queries, read and look around."""
+"""A document store on stored tables: build it, search batches of queries, read and look around."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from spanforge.operators import chunking, markdown, retrieval
 from spanforge.sources import converters, readers, sinks
 
 
-class KnowledgeBase:
+class DocumentStore:
     """Tables under one folder: markdown, books, parents, children, points and postings, each appended to by id."""
 
     def __init__(self, spark: SparkSession, root: str, config: EngineConfig = EngineConfig(), embedder: models.Embedder | None = None, reranker: models.Reranker | None = None):

@@ -1,4 +1,4 @@
-"""Files to tables, the knowledge base from end to end, and streaming ingestion."""
+"""Files to tables, the document store from end to end, and streaming ingestion."""
 
 import io
 import json
@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from spanforge.api import KnowledgeBase
+from spanforge.api import DocumentStore
 from spanforge.config import EngineConfig
 from spanforge.sources import converters, readers, sinks
 from spanforge.streaming.ingest import chunk_stream
@@ -42,8 +42,8 @@ def test_converters():
     assert converters.epub_to_markdown(_epub()).index("First") < converters.epub_to_markdown(_epub()).index("Second")
 
 
-def test_knowledge_base(spark, folder, tmp_path):
-    kb = KnowledgeBase(spark, str(tmp_path / "kb"), CONFIG)
+def test_document_store(spark, folder, tmp_path):
+    kb = DocumentStore(spark, str(tmp_path / "kb"), CONFIG)
     failed = [r["slug"] for r in kb.build(folder).collect()]
     assert failed == ["paper"]
     assert [(b["slug"], b["domain"]) for b in kb.list_books()] == [("book", "general"), ("cache-notes", "web"), ("page", "general")]

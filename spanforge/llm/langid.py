@@ -119,7 +119,7 @@ def fit_profiles(docs: DataFrame, train=None, *, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"), (F.lit(True) if train is None else train).alias("u")).where("u and l is not null").withColumn("h", F.xxhash64("i"))
     order = Window.partitionBy("l").orderBy("h")
     limits = rows.select("l", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).groupBy("l").agg(F.max("h").alias("top"))
-    chosen = rows.join(F.broadcast(limits), "l").where("h <= top").select("l", "t")
+    chosen = rows.join(limits, "l").where("h <= top").select("l", "t")
 
     def count(batches):
         for whole in batches:

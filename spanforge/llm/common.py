@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,3 +91,27 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow_type(kind.elementType))
     return simple[kind.simpleString()]
+
+
+def smallest_hashes(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group with the smallest hashes of the key (ties by key).
+
+    Groups are counted first, so only about ``4 n`` rows of a group are ranked in its
+    task, however many the group has. Where that share gives too few (keys that
+    repeat), all are ranked. There may be 10,000 groups.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(group).agg(F.count("*")).limit(10_001).collect()}
+    if len(counts) > 10_000:
+        raise ValueError(f"more than 10,000 values of {group}")
+    if not counts:
+        return rows
+    place = F.xxhash64(key) / float(1 << 64) + 0.5
+    shares = F.create_map(*[F.lit(x) for g, c in counts.items() for x in (g, min(1.0, 4.0 * n / c))])
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
+
+    def pick(some: DataFrame) -> DataFrame:
+        return some.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
+
+    sifted = pick(rows.where(place <= F.element_at(shares, F.col(group))))
+    found = {r[0]: r[1] for r in sifted.groupBy(group).agg(F.count("*")).collect()}
+    return sifted if all(found.get(g, 0) == min(n, c) for g, c in counts.items()) else pick(rows)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import append_columns, documents, fold, slices
+from spanforge.llm.common import append_columns, documents, fold, slices, smallest_hashes
 
 UNKNOWN = "und"
 _BITS = 21
@@ -117,8 +117,7 @@ def fit_profiles(docs: DataFrame, train=None, *, id_col: str = "doc_id", text_co
     language.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"), (F.lit(True) if train is None else train).alias("u")).where("u and l is not null").withColumn("h", F.xxhash64("i"))
-    order = Window.partitionBy("l").orderBy("h")
-    limits = rows.select("l", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).groupBy("l").agg(F.max("h").alias("top"))
+    limits = smallest_hashes(rows.select("l", "i"), "l", "i", sample).groupBy("l").agg(F.max(F.xxhash64("i")).alias("top"))
     chosen = rows.join(limits, "l").where("h <= top").select("l", "t")
 
     def count(batches):

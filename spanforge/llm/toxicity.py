@@ -27,11 +27,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import append_columns, documents, fold, materialise, slices
+from spanforge.llm.common import append_columns, documents, fold, materialise, slices, smallest_hashes
 
 #: Most examples of each label.
 EXAMPLES = 3000
@@ -182,8 +182,7 @@ def fit_index(docs: DataFrame, labels: DataFrame, train=None, *, id_col: str = "
         marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"), train.alias("u")).where("u and i is not null and y in (0, 1)")
     marks = materialise(marks.groupBy("i").agg(F.max("y").alias("y")), "marks")
     all_ = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i")
-    chosen = marks.withColumn("r", F.row_number().over(order)).where(F.col("r") <= examples).select("i", "y")
+    chosen = smallest_hashes(marks, "y", "i", examples).select("i", "y")
     # at most 2 * examples rows are broadcast
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     sample = materialise(texts.join(F.broadcast(chosen), "i"), "examples")

@@ -523,6 +523,18 @@ def test_edits_are_located(spark):
     assert [r[0] for r in prints.select(merkle.differing_paragraphs(F.col("p"), F.col("q"))).collect()] == [[2], [], [0]]
 
 
+def test_samples_by_hash(spark):
+    from spanforge.llm.common import smallest_hashes
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), F.col("id").alias("i"))
+    want = {g: sorted((r["h"], r["i"]) for r in rows.withColumn("h", F.xxhash64("i")).where(F.col("g") == g).collect())[:50] for g in "ab"}
+    got = smallest_hashes(rows, "g", "i", 50).collect()
+    assert {g: sorted(r["i"] for r in got if r["g"] == g) for g in "ab"} == {g: sorted(i for _, i in v) for g, v in want.items()}
+    same = rows.withColumn("i", F.lit(7))
+    assert smallest_hashes(same, "g", "i", 50).count() == 100
+    assert smallest_hashes(rows.limit(0), "g", "i", 50).count() == 0
+
+
 # -- empty tables ---------------------------------------------------------------------------
 
 

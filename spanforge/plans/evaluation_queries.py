@@ -1,7 +1,7 @@
 """Evaluation, significance, sampling and label queries.
 
 ``embeddings.label`` is the relevance group: for query vector ``q`` a vector of the same label has grade 1, of
-ids that leave the same remainder modulo 7 as well grade 2.
+ids that leave the same remainder modulo 7 as well grade 2. Queries are the vectors whose id is divisible by 20.
 """
 
 from __future__ import annotations
@@ -15,12 +15,10 @@ from spanforge.operators import labeling as L
 from spanforge.operators import retrieval as R
 from spanforge.session import read_table
 
-_N = 40
-
 
 def _run(spark, sf_dir, shift=0, k=50):
     points = read_table(spark, sf_dir, "embeddings")
-    q = points.where(F.col("vec_id") < _N).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = points.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     if shift:
         q = q.withColumn("vector", F.transform("vector", lambda x, i: F.when(i % 4 == 0, F.lit(0.0)).otherwise(x.cast("double"))))
     return R.dense_leg(q, points, k, item="vec_id")
@@ -28,7 +26,7 @@ def _run(spark, sf_dir, shift=0, k=50):
 
 def _qrels(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = e.where(F.col("vec_id") < _N).select(F.col("vec_id").alias("query_id"), "label")
+    q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label")
     grade = F.when(F.col("vec_id") % 7 == F.col("query_id") % 7, 2).otherwise(1)
     return q.join(e, "label").select("query_id", F.col("vec_id").alias("id"), grade.alias("grade"))
 
@@ -48,7 +46,7 @@ def mrr_hit(spark, sf_dir):
 
 
 def eval_by_group(spark, sf_dir):
-    scores = _scores(spark, sf_dir).withColumns({"domain": (F.col("query_id") % 4).cast("string"), "archetype": F.when(F.col("query_id") % 3 == 0, "hard").otherwise("baseline")})
+    scores = _scores(spark, sf_dir).withColumns({"domain": (F.floor(F.col("query_id") / 20) % 4).cast("string"), "archetype": F.when(F.floor(F.col("query_id") / 20) % 3 == 0, "hard").otherwise("baseline")})
     return E.report(scores, ["ndcg", "hit", "rr", "ceiling_hit"], ["domain", "archetype"])
 
 
@@ -143,7 +141,7 @@ _STOP = ["the", "and", "that", "was"]
 
 def lexical_overlap(spark, sf_dir):
     q = read_table(spark, sf_dir, "benchmark").select("item_id", X.content_terms(F.col("text"), _STOP).alias("q"))
-    d = read_table(spark, sf_dir, "documents").where("doc_id < 40").select(F.col("doc_id").alias("item_id"), X.content_terms(F.col("text"), _STOP).alias("c"))
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), X.content_terms(F.col("text"), _STOP).alias("c"))
     overlap = F.when(F.size("q") > 0, F.size(F.array_intersect("q", "c")) / F.greatest(F.size("q"), F.lit(1))).otherwise(0.0)
     return q.join(d, "item_id").select("item_id", F.round(overlap, 6).alias("overlap"))
 
@@ -163,20 +161,20 @@ def stratified_sample(spark, sf_dir):
 
 
 def blind_batches(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("candidate_text"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("candidate_text"))
     return L.round_robin(docs, 8, "doc_id")
 
 
 def live_reconcile(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    golden = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), F.array("doc_id", F.col("doc_id") + 3, F.col("doc_id") + 1).alias("positive_ids"))
-    live = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"))
+    golden = docs.select(F.col("doc_id").alias("query_id"), F.array("doc_id", F.col("doc_id") + 3, F.col("doc_id") + 1).alias("positive_ids"))
+    live = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     return L.reconcile(golden, live).select("query_id", F.array_join(F.transform("positive_ids", lambda x: x.cast("string")), ",").alias("positive_ids"))
 
 
 def child_parent_join(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations")
-    parents = conv.where("turn = 0 and conv_id % 5 <> 0").select("conv_id", F.col("text").alias("parent_text"))
+    parents = conv.where("turn = 0").select("conv_id", F.col("text").alias("parent_text"))
     return conv.join(parents, "conv_id", "left").select("conv_id", "turn", F.coalesce("parent_text", F.lit("")).alias("parent_text"))
 
 
@@ -191,7 +189,7 @@ def incremental_todo(spark, sf_dir):
 
 def hard_negatives(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("parent_id"), F.col("source").alias("book"), F.col("lang").alias("chapter"))
-    return L.siblings(docs.where("id < 20"), docs)
+    return L.siblings(docs.where("id % 20 = 0"), docs)
 
 
 def eligible_chunks(spark, sf_dir):
@@ -201,7 +199,7 @@ def eligible_chunks(spark, sf_dir):
 
 
 def junk_filter(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("query"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "query"))
     words = X.word_count(F.col("query"))
     return docs.where(~F.col("query").rlike(r"(?i)(^| )(the|una?)( |$)") & (F.length("query") >= 10) & (words <= 12))
 
@@ -223,7 +221,7 @@ def grade_parse(spark, sf_dir):
 
 
 def scrub_keys(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").where("event_id < 2000")
+    e = read_table(spark, sf_dir, "events")
     return L.scrub(e.select("event_id", "props"), "props", {"ip", "session", "k", "page"})
 
 
@@ -237,10 +235,10 @@ QUERIES = {f.__name__: f for f in (ndcg_at_10, mrr_hit, eval_by_group, misses, c
 
 def _run_sql(name: str, k: int = 50, shift: bool = False) -> str:
     v = "list_transform(q.embedding::DOUBLE[], lambda x, i: CASE WHEN (i - 1) % 4 = 0 THEN 0.0 ELSE x END)" if shift else "q.embedding::DOUBLE[]"
-    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity({v}, p.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings p WHERE q.vec_id < {_N})) WHERE rank <= {k})"""
+    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity({v}, p.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 20 = 0)) WHERE rank <= {k})"""
 
 
-_QREL = f"qrel AS (SELECT q.vec_id AS query_id, p.vec_id AS id, CASE WHEN p.vec_id % 7 = q.vec_id % 7 THEN 2 ELSE 1 END AS grade FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id < {_N})"
+_QREL = f"qrel AS (SELECT q.vec_id AS query_id, p.vec_id AS id, CASE WHEN p.vec_id % 7 = q.vec_id % 7 THEN 2 ELSE 1 END AS grade FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id % 20 = 0)"
 
 
 def _score_sql(run: str, tag: str, where: str = "true") -> str:
@@ -266,7 +264,7 @@ _HASH = "sha256('42' || {0})"
 ORACLE = {
     "ndcg_at_10": f"WITH {_run_sql('run')}, {_QREL}, {_score_sql('run', 'a')} SELECT query_id, round(ndcg, 6) AS ndcg FROM sa",
     "mrr_hit": f"{_HARD} SELECT query_id, coalesce(first_rank, 0) AS first_rank, hit, round(rr, 6) AS rr FROM sa",
-    "eval_by_group": f"""WITH {_run_sql('run')}, {_QREL}, {_score_sql('run', 'a')}, t AS (SELECT *, (query_id % 4)::VARCHAR AS domain, CASE WHEN query_id % 3 = 0 THEN 'hard' ELSE 'baseline' END AS archetype FROM sa)
+    "eval_by_group": f"""WITH {_run_sql('run')}, {_QREL}, {_score_sql('run', 'a')}, t AS (SELECT *, (query_id // 20 % 4)::VARCHAR AS domain, CASE WHEN query_id // 20 % 3 = 0 THEN 'hard' ELSE 'baseline' END AS archetype FROM sa)
 SELECT 'domain' AS stratum, domain AS value, {_MEANS} FROM t GROUP BY domain UNION ALL SELECT 'archetype', archetype, {_MEANS} FROM t GROUP BY archetype UNION ALL SELECT 'all', 'all', {_MEANS} FROM t""",
     "misses": f"{_HARD} SELECT query_id, ceiling_hit > 0 AS in_ceiling FROM sa WHERE hit = 0",
     "ceiling_gap": f"{_HARD} SELECT round(avg(ceiling_hit), 4) AS ceiling, round(avg(hit), 4) AS delivered, round(avg(ceiling_hit - hit), 4) AS gap, round(avg(ceiling_hit - hit), 4) > 0.05 AS rerank_loses FROM sa",
@@ -287,19 +285,19 @@ SELECT n, w_plus, w_minus, round(coalesce(greatest(abs(least(w_plus, w_minus) -
     "coverage_stats": "SELECT source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median, list_sort(list(n_chars))[least(floor(count(*) * 0.9), count(*) - 1)::BIGINT + 1] AS p90, round(quantile_cont(n_chars, 0.5), 4) AS median, round(coalesce(stddev_samp(n_chars), 0), 4) AS sd FROM documents GROUP BY source",
     "ratio_stats": f"""WITH r AS (SELECT lang, n_chars / greatest({_WORDS.format('text')}, 1) AS ratio FROM documents WHERE n_chars > 0),
 s AS (SELECT lang, round(avg(ratio), 6) AS mean, round(quantile_cont(ratio, 0.5), 6) AS median, round(list_sort(list(ratio))[least(floor(count(*) * 0.95), count(*) - 1)::BIGINT + 1], 6) AS p95, round(coalesce(stddev_samp(ratio), 0), 6) AS sd FROM r GROUP BY lang) SELECT *, round_even(250 * mean, 0)::BIGINT AS threshold FROM s""",
-    "lexical_overlap": f"WITH q AS (SELECT item_id, {_TERMS} AS q FROM benchmark), d AS (SELECT doc_id AS item_id, {_TERMS} AS c FROM documents WHERE doc_id < 40) SELECT item_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / len(q) ELSE 0 END, 6) AS overlap FROM q JOIN d USING (item_id)",
+    "lexical_overlap": f"WITH q AS (SELECT item_id, {_TERMS} AS q FROM benchmark), d AS (SELECT doc_id AS item_id, {_TERMS} AS c FROM documents) SELECT item_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / len(q) ELSE 0 END, 6) AS overlap FROM q JOIN d USING (item_id)",
     "stratified_allocate": f"{_ALLOC} SELECT * FROM p",
     "stratified_sample": f"{_ALLOC}, r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_HASH.format('doc_id')}, doc_id) AS r FROM documents) SELECT lang, doc_id FROM r JOIN p USING (lang) WHERE r <= n",
-    "blind_batches": "SELECT doc_id, substr(text, 1, 40) AS candidate_text, ((row_number() OVER (ORDER BY doc_id) - 1) % 8)::INT AS batch FROM documents",
-    "live_reconcile": """WITH g AS (SELECT doc_id AS query_id, unnest([doc_id, doc_id + 3, doc_id + 1]) AS id, unnest([0, 1, 2]) AS pos FROM documents WHERE doc_id % 10 = 0)
-SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY pos) AS positive_ids FROM g WHERE id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) GROUP BY query_id""",
-    "child_parent_join": "SELECT c.conv_id, c.turn, coalesce(p.text, '') AS parent_text FROM conversations c LEFT JOIN (SELECT * FROM conversations WHERE turn = 0 AND conv_id % 5 <> 0) p ON p.conv_id = c.conv_id",
+    "blind_batches": "SELECT doc_id, text AS candidate_text, ((row_number() OVER (ORDER BY doc_id) - 1) % 8)::INT AS batch FROM documents",
+    "live_reconcile": """WITH g AS (SELECT doc_id AS query_id, unnest([doc_id, doc_id + 3, doc_id + 1]) AS id, unnest([0, 1, 2]) AS pos FROM documents)
+SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY pos) AS positive_ids FROM g WHERE id IN (SELECT doc_id FROM labels) GROUP BY query_id""",
+    "child_parent_join": "SELECT c.conv_id, c.turn, coalesce(p.text, '') AS parent_text FROM conversations c LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) p ON p.conv_id = c.conv_id",
     "orphan_parents": "SELECT doc_id AS parent_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "incremental_todo": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "hard_negatives": f"""WITH n AS (SELECT a.doc_id AS query_id, b.doc_id AS id, CASE WHEN a.lang = b.lang THEN 0 ELSE 1 END AS tier, {_HASH.format('b.doc_id')} AS h FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id <> b.doc_id WHERE a.doc_id < 20)
+    "hard_negatives": f"""WITH n AS (SELECT a.doc_id AS query_id, b.doc_id AS id, CASE WHEN a.lang = b.lang THEN 0 ELSE 1 END AS tier, {_HASH.format('b.doc_id')} AS h FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id <> b.doc_id WHERE a.doc_id % 20 = 0)
 SELECT query_id, id, tier, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, h) AS place FROM n) WHERE place <= 6""",
     "eligible_chunks": f"WITH w AS (SELECT doc_id, text, {_WORDS.format('text')} AS n_words FROM documents) SELECT doc_id, n_words FROM w WHERE n_words BETWEEN 90 AND 250 AND NOT regexp_matches(lower(text), '^\\s*(index|contents|preface)\\b')",
-    "junk_filter": f"WITH q AS (SELECT doc_id, substr(text, 1, 60) AS query FROM documents) SELECT doc_id, query FROM q WHERE NOT regexp_matches(query, '(?i)(^| )(the|una?)( |$)') AND length(query) >= 10 AND {_WORDS.format('query')} <= 12",
+    "junk_filter": f"WITH q AS (SELECT doc_id, (unnest(generate_series(0, len(string_split(text, chr(10))) - 1)))::INT AS ln, unnest(string_split(text, chr(10))) AS query FROM documents) SELECT doc_id, ln, query FROM q WHERE NOT regexp_matches(query, '(?i)(^| )(the|una?)( |$)') AND length(query) >= 10 AND {_WORDS.format('query')} <= 12",
     "index_page_strip": """WITH p AS (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents), f AS (SELECT *, regexp_matches(trim(string_split(CASE WHEN page > 45 THEN 'Index (part ' || page || ') > x' ELSE lang || ' > Index' END, '>')[1]), '^Index \\(part \\d+\\)$') AS f FROM p),
 g AS (SELECT source, count(*) FILTER (f) AS flagged, (min(page) FILTER (f))::INT AS first_page, (max(page) FILTER (f))::INT AS last_page, (max(page) FILTER (NOT f))::INT AS kept_last FROM f GROUP BY source) SELECT *, coalesce(first_page < 0.5 * kept_last, false) AS warn FROM g""",
     "grade_parse": "SELECT event_id, least(2, event_id % 4)::INT AS g0, least(2, user_id % 3)::INT AS g1 FROM events",

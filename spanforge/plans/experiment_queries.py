@@ -9,7 +9,7 @@ from spanforge.session import read_table
 
 
 def promote_headings(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").where("doc_id < 200")
+    docs = read_table(spark, sf_dir, "documents")
     lines = docs.select(F.col("doc_id").alias("slug"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     titles = docs.select(F.col("doc_id").alias("slug"), F.trim(F.element_at(F.split("text", "\n"), 1)).alias("title")).where("title <> ''")
     return P.promote_headings(lines, titles, ahead=1)
@@ -18,15 +18,15 @@ def promote_headings(spark, sf_dir):
 def late_pool(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     tokens = e.select(F.col("label").alias("parent_id"), (F.col("vec_id") * 4).alias("low"), (F.col("vec_id") * 4 + 4).alias("high"), F.col("embedding").alias("vector"))
-    spans = e.where("vec_id % 25 = 0").select(F.col("label").alias("parent_id"), F.col("vec_id").alias("child_id"), (F.col("vec_id") * 4 - 30).alias("start"), (F.col("vec_id") * 4 + 90).alias("stop"))
+    spans = e.select(F.col("label").alias("parent_id"), F.col("vec_id").alias("child_id"), (F.col("vec_id") * 4 - 30).alias("start"), (F.col("vec_id") * 4 + 90).alias("stop"))
     return P.late_pool(tokens, spans).select("parent_id", "child_id", "i", F.round("x", 6).alias("x"))
 
 
 def frozen_background(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    q = docs.where("id < 20").select(F.col("id").alias("query_id"))
-    own = docs.where("id < 20").select(F.col("id").alias("query_id"), "id", "lang")
-    return P.frozen_background(docs.where("id between 10 and 60"), own, q)
+    docs = read_table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    own = docs.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
+    background = read_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"))
+    return P.frozen_background(background, own, own)
 
 
 def render_prompt(spark, sf_dir):
@@ -42,8 +42,8 @@ def train_dev_split(spark, sf_dir):
 def array_key_join(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations")
     key = F.array((F.col("conv_id") % 10).cast("long"), F.col("turn").cast("long"))
-    left = conv.where("conv_id < 10").select("conv_id", "turn", key.alias("k"))
-    right = conv.where("conv_id >= 5 and turn < 3").select(key.alias("k"), F.col("conv_id").alias("easy_id"))
+    left = conv.select("conv_id", "turn", key.alias("k"))
+    right = conv.where("role = 'assistant'").select(key.alias("k"), F.col("conv_id").alias("easy_id"))
     return P.join_on_array(left, right, "k", "easy_id").select("conv_id", "turn", F.coalesce("easy_id", F.lit(-1)).alias("easy_id"))
 
 
@@ -53,25 +53,25 @@ def label_rollup(spark, sf_dir):
 
 
 def distinct_queries(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 3).alias("query"))
-    return P.distinct_queries(rows.where("query rlike '^[A-Za-z ]+$'"), "query", "doc_id")
+    rows = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))
+    return P.distinct_queries(rows, "query", "qid")
 
 
 QUERIES = {f.__name__: f for f in (promote_headings, late_pool, frozen_background, render_prompt, train_dev_split, array_key_join, label_rollup, distinct_queries)}
 
 ORACLE = {
-    "promote_headings": """WITH d AS (SELECT * FROM documents WHERE doc_id < 200), l AS (SELECT doc_id AS slug, unnest(generate_series(0, len(string_split(text, chr(10))) - 1))::INT AS ln, unnest(string_split(text, chr(10))) AS line FROM d),
+    "promote_headings": """WITH d AS (SELECT * FROM documents), l AS (SELECT doc_id AS slug, unnest(generate_series(0, len(string_split(text, chr(10))) - 1))::INT AS ln, unnest(string_split(text, chr(10))) AS line FROM d),
 t AS (SELECT doc_id AS slug, trim(string_split(text, chr(10))[1]) AS title FROM d), m AS (SELECT *, count(*) OVER (PARTITION BY slug, trim(line)) AS n FROM l)
 SELECT m.slug, ln, CASE WHEN title IS NOT NULL AND n = 1 THEN '## ' || title ELSE line END AS line FROM m LEFT JOIN t ON t.slug = m.slug AND t.title = trim(line) AND t.title <> ''""",
-    "late_pool": """WITH s AS (SELECT label AS parent_id, vec_id AS child_id, vec_id * 4 - 30 AS a, vec_id * 4 + 90 AS b FROM embeddings WHERE vec_id % 25 = 0),
+    "late_pool": """WITH s AS (SELECT label AS parent_id, vec_id AS child_id, vec_id * 4 - 30 AS a, vec_id * 4 + 90 AS b FROM embeddings),
 p AS (SELECT parent_id, child_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings JOIN s ON label = parent_id AND vec_id * 4 + 4 > a AND vec_id * 4 < b)
 SELECT parent_id, child_id, i::INT AS i, round(avg(x), 6) AS x FROM p GROUP BY parent_id, child_id, i""",
-    "frozen_background": """SELECT q.doc_id AS query_id, d.doc_id AS id, d.lang FROM documents q, documents d WHERE q.doc_id < 20 AND (d.doc_id BETWEEN 10 AND 60 OR d.doc_id = q.doc_id)""",
+    "frozen_background": "SELECT doc_id AS query_id, 'b' || item_id AS id FROM documents, benchmark WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id, 'd' || doc_id FROM documents WHERE doc_id % 20 = 0",
     "render_prompt": "SELECT doc_id, 'Book ' || source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' in ' || lang END || ': ' || substr(text, 1, 50) AS prompt FROM documents",
     "train_dev_split": """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42' || doc_id), doc_id) AS r FROM documents)
 SELECT doc_id, lang, CASE WHEN r <= 10 THEN 'train' ELSE 'dev' END AS part FROM r WHERE r <= 15""",
-    "array_key_join": """WITH r AS (SELECT conv_id % 10 AS a, turn AS b, max(conv_id) AS easy_id FROM conversations WHERE conv_id >= 5 AND turn < 3 GROUP BY 1, 2)
-SELECT conv_id, turn, coalesce(easy_id, -1) AS easy_id FROM conversations LEFT JOIN r ON conv_id % 10 = a AND turn = b WHERE conv_id < 10""",
+    "array_key_join": """WITH r AS (SELECT conv_id % 10 AS a, turn AS b, max(conv_id) AS easy_id FROM conversations WHERE role = 'assistant' GROUP BY 1, 2)
+SELECT conv_id, turn, coalesce(easy_id, -1) AS easy_id FROM conversations LEFT JOIN r ON conv_id % 10 = a AND turn = b""",
     "label_rollup": "SELECT count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, round(100.0 * count(*) FILTER (quality = 1) / greatest(count(*), 1), 2) AS good_pct, round(100.0 * count(*) FILTER (toxic = 1) / greatest(count(*), 1), 2) AS toxic_pct FROM labels",
-    "distinct_queries": """WITH q AS (SELECT doc_id, substr(text, 1, 3) AS query FROM documents) SELECT doc_id, query FROM (SELECT *, row_number() OVER (PARTITION BY lower(query) ORDER BY doc_id) AS n FROM q WHERE regexp_matches(query, '^[A-Za-z ]+$')) WHERE n = 1""",
+    "distinct_queries": "SELECT qid, query FROM (SELECT conv_id * 1000 + turn AS qid, text AS query, row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id * 1000 + turn) AS n FROM conversations) WHERE n = 1",
 }

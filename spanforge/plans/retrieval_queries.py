@@ -1,4 +1,8 @@
-"""Retrieval queries: ``benchmark`` passages are the queries, ``documents`` or ``embeddings`` the collection."""
+"""Retrieval queries over whole collections.
+
+Text queries are all ``benchmark`` passages against ``documents``; vector queries are the vectors whose id is divisible by 20
+(a further leg of query ``q`` is the vector ``q`` + 1 or + 2) against all of ``embeddings``.
+"""
 
 from __future__ import annotations
 
@@ -45,8 +49,8 @@ def _points(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings")
 
 
-def _vector_queries(spark, sf_dir, shift=0, n=8):
-    return _points(spark, sf_dir).where(F.col("vec_id").between(shift, shift + n - 1)).select((F.col("vec_id") - shift).alias("query_id"), F.col("embedding").alias("vector"))
+def _vector_queries(spark, sf_dir, shift=0):
+    return _points(spark, sf_dir).where((F.col("vec_id") - shift) % 20 == 0).select((F.col("vec_id") - shift).alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def dense_topk(spark, sf_dir):
@@ -69,7 +73,7 @@ def mean_pool(spark, sf_dir):
 def _legs(spark, sf_dir, k=50):
     points = _points(spark, sf_dir)
     one = R.dense_leg(_vector_queries(spark, sf_dir), points, k, item="vec_id").withColumn("leg", F.lit(0))
-    two = R.dense_leg(_vector_queries(spark, sf_dir, 100), points, k, item="vec_id").withColumn("leg", F.lit(1))
+    two = R.dense_leg(_vector_queries(spark, sf_dir, 1), points, k, item="vec_id").withColumn("leg", F.lit(1))
     return one.unionByName(two)
 
 
@@ -78,7 +82,7 @@ def hybrid_dbsf(spark, sf_dir):
 
 
 def hybrid_multi_leg(spark, sf_dir):
-    three = R.dense_leg(_vector_queries(spark, sf_dir, 200), _points(spark, sf_dir), 50, item="vec_id").withColumn("leg", F.lit(2))
+    three = R.dense_leg(_vector_queries(spark, sf_dir, 2), _points(spark, sf_dir), 50, item="vec_id").withColumn("leg", F.lit(2))
     return R.dbsf(_legs(spark, sf_dir).unionByName(three), 20)
 
 
@@ -118,7 +122,7 @@ def plan_legs(spark, sf_dir):
 def pool_union(spark, sf_dir):
     labels = _points(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").alias("parent_id"))
     legs = _legs(spark, sf_dir, 20).join(labels, "id")
-    gold = labels.where("id between 0 and 7").select(F.col("id").alias("query_id"), "id", "parent_id")
+    gold = labels.where("id % 20 = 0").select(F.col("id").alias("query_id"), "id", "parent_id")
     return R.pool(legs, gold)
 
 
@@ -174,10 +178,10 @@ def _bm25(where: str) -> str:
 
 
 def _dense(shift: int, k: int, where: str = "") -> str:
-    return _rank(f"SELECT q.vec_id - {shift} AS query_id, p.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings p WHERE q.vec_id BETWEEN {shift} AND {shift + 7} {where}", k)
+    return _rank(f"SELECT q.vec_id - {shift} AS query_id, p.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings p WHERE (q.vec_id - {shift}) % 20 = 0 {where}", k)
 
 
-_LEGS = f"legs AS (SELECT *, 0 AS leg FROM ({_dense(0, 50)}) UNION ALL SELECT *, 1 FROM ({_dense(100, 50)}))"
+_LEGS = f"legs AS (SELECT *, 0 AS leg FROM ({_dense(0, 50)}) UNION ALL SELECT *, 1 FROM ({_dense(1, 50)}))"
 _DBSF = """n AS (SELECT *, avg(score) OVER (PARTITION BY query_id, leg) AS m, stddev_samp(score) OVER (PARTITION BY query_id, leg) AS sd FROM legs),
 f AS (SELECT query_id, id, round(sum(CASE WHEN sd > 0 THEN (score - (m - 3 * sd)) / (6 * sd) ELSE 0.5 END), 6) AS score FROM n GROUP BY query_id, id)"""
 _CUT = f"""{_LEGS}, {_DBSF}, top AS ({_rank('SELECT * FROM f', 50)}), c AS (SELECT *, least({_TOP}, sum(CASE WHEN score >= {_FLOOR} THEN 1 ELSE 0 END) OVER (PARTITION BY query_id)) AS kept FROM top),
@@ -200,7 +204,7 @@ ORACLE = {
     "l2_normalize": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), u AS (SELECT vec_id, n, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM e) SELECT vec_id, i::INT AS i, round(x / greatest(n, 1e-9), 6) AS x FROM u",
     "mean_pool": "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT label, i::INT AS i, round(avg(x), 6) AS x FROM e GROUP BY label, i",
     "hybrid_dbsf": f"WITH {_LEGS}, {_DBSF} {_rank('SELECT * FROM f', 50)}",
-    "hybrid_multi_leg": f"WITH legs AS (SELECT *, 0 AS leg FROM ({_dense(0, 50)}) UNION ALL SELECT *, 1 FROM ({_dense(100, 50)}) UNION ALL SELECT *, 2 FROM ({_dense(200, 50)})), {_DBSF} {_rank('SELECT * FROM f', 20)}",
+    "hybrid_multi_leg": f"WITH legs AS (SELECT *, 0 AS leg FROM ({_dense(0, 50)}) UNION ALL SELECT *, 1 FROM ({_dense(1, 50)}) UNION ALL SELECT *, 2 FROM ({_dense(2, 50)})), {_DBSF} {_rank('SELECT * FROM f', 20)}",
     "rrf_fusion": f"WITH {_LEGS} " + _rank("SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM legs GROUP BY query_id, id", 20),
     "adaptive_cutoff": f"WITH {_CUT} SELECT * FROM cut",
     "hybrid_search_e2e": f"WITH {_CUT} {_dedup('cut')}",
@@ -208,9 +212,9 @@ ORACLE = {
     "plan_legs": """WITH q AS (SELECT item_id AS query_id, text, CASE WHEN item_id % 2 = 0 THEN 'passage ' || text END AS hyde, CASE WHEN item_id % 3 = 0 THEN ['one', 'two'] ELSE []::VARCHAR[] END AS ex, CASE WHEN item_id % 5 = 0 THEN 'a b' ELSE text END AS kw FROM benchmark),
 l AS (SELECT query_id, list_concat(list_transform(list_filter(list_concat([text, hyde], ex), lambda t: t IS NOT NULL), lambda t: {'kind': 'dense', 'text': t}), list_transform(list_concat([kw], ex), lambda t: {'kind': 'sparse', 'text': t})) AS p FROM q),
 u AS (SELECT query_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS leg FROM l) SELECT query_id, leg::INT AS leg, s.kind AS kind, s.text AS text FROM u""",
-    "pool_union": f"""WITH legs AS (SELECT *, 0 AS leg FROM ({_dense(0, 20)}) UNION ALL SELECT *, 1 FROM ({_dense(100, 20)})),
+    "pool_union": f"""WITH legs AS (SELECT *, 0 AS leg FROM ({_dense(0, 20)}) UNION ALL SELECT *, 1 FROM ({_dense(1, 20)})),
 s AS (SELECT query_id, id, label AS parent_id, row_number() OVER (PARTITION BY query_id, label ORDER BY leg, rank, id) AS n FROM legs JOIN embeddings ON vec_id = id),
-g AS (SELECT vec_id AS query_id, vec_id AS id, label AS parent_id FROM embeddings WHERE vec_id BETWEEN 0 AND 7)
+g AS (SELECT vec_id AS query_id, vec_id AS id, label AS parent_id FROM embeddings WHERE vec_id % 20 = 0)
 SELECT query_id, id, parent_id, false AS gold FROM s WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM g WHERE g.query_id = s.query_id AND g.parent_id = s.parent_id) UNION ALL SELECT query_id, id, parent_id, true FROM g""",
     "grep_lines": """WITH l AS (SELECT source || '-' || doc_id AS book, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS ln, unnest(string_split(text, chr(10))) AS line FROM documents),
 c AS (SELECT book, ln, line, substr(concat_ws(chr(10), lag(line) OVER w, line, lead(line) OVER w), 1, 500) AS context FROM l WINDOW w AS (PARTITION BY book ORDER BY ln)),

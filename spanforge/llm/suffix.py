@@ -403,7 +403,9 @@ def repeated_spans(keyed: DataFrame, *, window: int = WINDOW, crowded: int = CRO
     texts = materialise(texts, "texts")
     found = materialise(_anchor_rows(keyed, window), "anchors")
     place = F.xxhash64("k1", "pos")
+    # stored, so that both sides of the join are plain exchanges and a hot gram's rows can be split
     shared = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("h", (F.col("n") > crowded).alias("crowded"))
+    shared = materialise(shared, "shared")
     listed = found.join(shared, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "pos", "lo", "hi", "crowded")).alias("found"))
     leading = materialise(listed.join(texts.where("leads").select("uid"), "uid", "left_semi"), "listed")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import langid, packing, pii, simhash, suffix
+from spanforge.llm import langid, nearcopies, packing, pii, suffix
 from spanforge.llm.common import documents, materialise
 
 
@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal fingerprints the document of least id stays."""
-    return simhash.keep_one(docs)
+    """Of each component of near copies (five-word shingles, Jaccard 0.8 or more) the document of least id stays."""
+    return nearcopies.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, langid, merkle, packing, pii, quality, simhash, suffix, tokens, toxicity
+from spanforge.llm import bpe, langid, merkle, nearcopies, packing, pii, quality, simhash, suffix, tokens, toxicity
 from spanforge.llm.components import connected_components
 from spanforge.llm.tagger import Tagger
 
@@ -311,6 +311,41 @@ def test_one_of_each_group_stays(stored):
     assert docs.where(F.col("text") == _texts(3, 12)[6]).count() == 2 and kept.where(F.col("text") == _texts(3, 12)[6]).count() <= 1
 
 
+def test_near_dedup_stage_is_by_likeness(spark, stored):
+    """The stage's kept rows against all pairs' exact likeness of five-word shingles, among them a chain and near misses."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = [None, "", "a b", "A  b", "a c"]
+    for _ in range(12):
+        words = [f"w{rng.randrange(9999)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for changed in (1, 2, 3, 4, 5, 6, 8):
+            copy = list(words)
+            for at in rng.sample(range(200), changed):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+        for end in range(8, 64, 8):
+            texts.append(" ".join(words[end:] + [f"t{k}" for k in range(end)]))
+
+    def parts(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [parts(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = stored(texts)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
 def test_chain_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 100), (200, None)], "a long, b long")
     assert {r["root"] for r in connected_components(links).collect()} == {0}

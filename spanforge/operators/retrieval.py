@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from spanforge.config import EngineConfig
 from spanforge.functions import text as X
 
-#: Queries of one batch that a dense scan holds in each task.
+#: Queries of one block that a dense scan holds in each task.
 MAX_QUERIES = 10_000
 
 
@@ -74,14 +74,24 @@ def mean_vector(vectors: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def dense_leg(queries: DataFrame, points: DataFrame, k: int = 50, *, item: str = "id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank) by cosine: a block of queries against all points in Arrow batches.
+    """(query_id, id, score, rank) by cosine: blocks of queries against all points in Arrow batches.
 
-    ``queries`` (query_id, vector) are at most ``MAX_QUERIES`` rows, which is checked; each
-    batch gives its own ``k`` best, so what is ranked in the end is batches x ``k`` rows a query.
+    ``queries`` (query_id, vector) may be any number: blocks of at most ``MAX_QUERIES`` rows are scanned one after the other
+    and their results united. Each batch gives its own ``k`` best, so what is ranked in the end is batches x ``k`` rows a query.
     """
-    held = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
-    if len(held) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    held, out = [], None
+    for row in queries.select("query_id", "vector").toLocalIterator():
+        held.append(row)
+        if len(held) == MAX_QUERIES:
+            part = _dense_block(held, queries, points, k, item, vector)
+            out, held = part if out is None else out.unionByName(part), []
+    if held or out is None:
+        part = _dense_block(held, queries, points, k, item, vector)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _dense_block(held: list, queries: DataFrame, points: DataFrame, k: int, item: str, vector: str) -> DataFrame:
     ids = [r["query_id"] for r in held]
     q = np.array([r["vector"] for r in held], dtype=np.float64).reshape(len(held), len(held[0]["vector"]) if held else 0)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)

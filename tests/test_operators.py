@@ -49,6 +49,14 @@ def test_dense_leg_checks_its_batch(spark):
     assert R.dense_leg(q.limit(0), p).count() == 0
 
 
+def test_dense_leg_takes_any_number_of_queries(spark, monkeypatch):
+    q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(7)], "query_id long, vector array<double>")
+    p = spark.createDataFrame([(k, [1.0, k / 2]) for k in range(20)], "id long, embedding array<double>")
+    want = sorted(map(tuple, R.dense_leg(q, p, 3).collect()))
+    monkeypatch.setattr(R, "MAX_QUERIES", 3)
+    assert sorted(map(tuple, R.dense_leg(q, p, 3).collect())) == want and len(want) == 21
+
+
 def test_grep_rejects_a_broken_pattern(spark):
     lines = spark.createDataFrame([("b", 0, "x")], "book string, ln int, line string")
     with pytest.raises(ValueError):

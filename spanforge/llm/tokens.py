@@ -8,7 +8,8 @@ white space is encoded as a whole by the same ranks; one that holds a special
 token's string goes to the ``tokenizers`` library itself.
 
 A flat token file is a row of unsigned 16-bit little-endian ids with the
-end-of-document id after each document and no index. ``scan_token_files`` finds
+end-of-document id after each document and no index; in the texts the string of
+that token is ordinary text, so no text gives the id. ``scan_token_files`` finds
 the documents: each file is read in blocks, the separator search of a block is
 one vectorised comparison, and a prefix scan over the blocks' summaries (number
 of separators, place of the last one) gives each block its first document's number and
@@ -100,10 +101,11 @@ class UnitEncoder:
     def _pack(self, text: str) -> bytes:
         return array("I", self.ids(text)).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
+    def encode(self, text: str | None, special: bool = True) -> bytes:
+        """The packed ids; without ``special`` the string of a special token is ordinary text."""
         if not text:
             return b""
-        if SPECIAL in text:
+        if special and SPECIAL in text:
             if self.library is None:
                 from tokenizers import Tokenizer
 
@@ -139,7 +141,7 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
             for batch in slices(whole):
                 out = []
                 for text in batch.column(0).to_pylist():
-                    ids = np.frombuffer(texts_to_ids(text), dtype="<u4")
+                    ids = np.frombuffer(texts_to_ids(text, special=False), dtype="<u4")
                     if (ids >= 1 << 16).any() or (ids == eod).any():
                         raise ValueError("an id does not fit a 16-bit file or equals the separator")
                     out.append(ids.astype("<u2").tobytes())

@@ -87,6 +87,14 @@ def test_token_counts(spark, odd, tmp_path):
         assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == want
 
 
+def test_the_separator_as_text_is_ordinary_text(spark, stored, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain", None]
+    plain = tokens.UnitEncoder().ids
+    order = tokens.write_token_files(stored(texts), str(tmp_path / "t"))
+    got = order.join(tokens.scan_token_files(spark, str(tmp_path / "t")), ["file_no", "document"], "full")
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {k: len(plain(t or "")) for k, t in enumerate(texts)}
+
+
 def test_open_tail_is_reported(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(np.array([1, 2, 50256, 50256, 3, 4, 5], "<u2").tobytes())
     got = tokens.scan_token_files(spark, str(tmp_path / "x.bin"), block_bytes=4).orderBy("document").collect()

@@ -15,8 +15,11 @@ from spanforge.llm.common import documents, materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language (no letter at all) go; a missing language is filled in."""
-    found = langid.identify(docs, langid.fit_profiles(docs), lang_out="_lang", score_out="_score")
+    """Documents without any letter go; a missing language is filled in, or stays missing where no row names one."""
+    profiles = langid.fit_profiles(docs)
+    if not profiles.names:
+        return langid.lettered(docs, out="_letters").where("_letters").select(*docs.columns)
+    found = langid.identify(docs, profiles, lang_out="_lang", score_out="_score")
     kept = found.where(F.col("_lang") != langid.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
 

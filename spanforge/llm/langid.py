@@ -161,6 +161,15 @@ def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", lan
     return append_columns(docs, text_col, [(lang_out, T.StringType()), (score_out, T.DoubleType())], make)
 
 
+def lettered(docs: DataFrame, *, text_col: str = "text", out: str = "letters") -> DataFrame:
+    """All rows and columns of ``docs`` with whether the text has any letter, which needs no profile."""
+
+    def make():
+        return lambda texts: [[_codes(t) is not None for t in texts]]
+
+    return append_columns(docs, text_col, [(out, T.BooleanType())], make)
+
+
 def op10_language_id(spark, sf_dir):
     """Contract query: profiles from the folds other than 2 of 4, predictions for every row."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")

@@ -421,6 +421,15 @@ def test_language(spark, stored):
     assert _by_id(langid.identify(docs, empty), "lang_pred")[0] == ("und",)
 
 
+def test_language_stage_without_any_language(spark, stored):
+    import corpus_pipeline
+
+    docs = stored(["clean text", "12 34", "", None, "日本"]).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 4]
+
+
 def test_language_distance_by_hand():
     def grams(text):
         s = re.sub(r"[^a-z]+", "_", f"_{text.lower()}_")

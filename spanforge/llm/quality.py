@@ -8,7 +8,9 @@ the rule's share of ``risk``. The confidence is divided by the number of
 (stratum, rule) pairs; along a grid the cutoffs are tested from lenient to strict
 and testing ends at the first that fails, so the chance that any chosen cutoff
 breaks its limit is at most ``delta``. No cutoff is fitted, so every labelled
-row serves as holdout. A rule without enough evidence rejects nothing.
+row serves as holdout. A stratum with too few labels for any rule's share has its whole rule set certified at
+``risk`` instead: the rules tighten in turn along one fixed path, and what any of them rejects is tested.
+The query gives each of the two ways half of ``delta``. A stratum without enough evidence for either rejects nothing.
 
 Defined results: null text counts as no words; ``base_failed`` is true for it.
 A null stratum is the stratum ``''``; strata without labels keep what passes
@@ -144,6 +146,42 @@ def holdout_counts(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc
     return {(row["_s"], r): (row["n"], [row[f"{r}_{i}"] for i in range(len(grid))]) for row in joined.groupBy("_s").agg(*sums).collect() for r, grid in RULES.items()}
 
 
+#: All rules' cutoffs as one path: the rules tighten in turn, each by its share of its own grid.
+PATH = [(rule, cutoff) for _, _, rule, cutoff in sorted(((i + 1) / len(grid), k, rule, cutoff) for k, (rule, grid) in enumerate(RULES.items()) for i, cutoff in enumerate(grid))]
+
+
+def path_counts(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum_col: str = "lang", quality_col: str = "quality") -> dict[str, dict[int, int]]:
+    """By stratum, the good documents that each step of the path is the first to reject (``len(PATH)``: none is)."""
+    good = labels.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull() & (F.col(quality_col) == 1))
+    values = rule_values()
+    step = F.least(*[F.when(values[rule] >= cutoff, F.lit(i)).otherwise(F.lit(len(PATH))) for i, (rule, cutoff) in enumerate(PATH)])
+    rows = measured.where(~base_failed()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("_s"), step.alias("_k")).join(good, "_id")
+    found: dict[str, dict[int, int]] = {}
+    for row in rows.groupBy("_s", "_k").agg(F.count("*").alias("n")).collect():
+        found.setdefault(row["_s"], {})[row["_k"]] = row["n"]
+    return found
+
+
+def certify_path(counts: dict[str, dict[int, int]], risk: float = 0.02, delta: float = 0.05) -> dict[tuple[str, str], float]:
+    """The cutoffs by (stratum, rule) at the last step before the first whose rejections by any rule are not certified."""
+    found = {}
+    for stratum, first in counts.items():
+        n, bad = sum(first.values()), 0
+        for i, (rule, cutoff) in enumerate(PATH):
+            bad += first.get(i, 0)
+            if bad > risk * n or upper_bound(bad, n, delta / len(counts)) > risk:
+                break
+            found[(stratum, rule)] = cutoff
+    return found
+
+
+def certified(measured: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> dict[tuple[str, str], float]:
+    """Cutoffs rule by rule and, for strata where that certifies none, of the whole rule set along the path."""
+    found = certify(holdout_counts(measured, labels), risk, delta / 2)
+    own = {stratum for stratum, _ in found}
+    return found | {k: c for k, c in certify_path(path_counts(measured, labels), risk, delta / 2).items() if k[0] not in own}
+
+
 def apply_cutoffs(measured: DataFrame, cutoffs: dict[tuple[str, str], float], *, stratum_col: str = "lang") -> DataFrame:
     """All rows with ``base_failed``, ``failed_rule`` (the first rule that rejects, or null) and ``kept``."""
     values = rule_values()
@@ -159,6 +197,6 @@ def op4_quality_rules(spark, sf_dir):
     """Contract query: base measures of every document and the verdict of the certified cutoffs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     measured = materialise(base_measures(documents(spark, sf_dir).select("doc_id", "text", "lang")).drop("text"), "quality")
-    cutoffs = certify(holdout_counts(measured, labels))
+    cutoffs = certified(measured, labels)
     out = apply_cutoffs(measured, cutoffs)
     return out.select("doc_id", *[n for n, _ in BASE], "base_failed", "kept", "failed_rule")

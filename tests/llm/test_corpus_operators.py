@@ -398,6 +398,14 @@ def test_cutoffs_are_certified_and_few_labels_reject_nothing():
     assert quality.certify({("en", "symbols"): (50, [0] * len(grid))}) == {}
 
 
+def test_few_labels_certify_the_whole_rule_set():
+    last = len(quality.PATH)
+    found = quality.certify_path({"es": {last: 307}, "xx": {last: 50}, "fr": {20: 300, last: 100}})
+    assert {s for s, _ in found} == {"es", "fr"}
+    assert {r: c for (s, r), c in found.items() if s == "es"} == {r: g[-1] for r, g in quality.RULES.items()}
+    assert {r: c for (s, r), c in found.items() if s == "fr"} == dict(quality.PATH[:20])
+
+
 def test_quality_verdicts(spark, stored):
     docs = stored([" ".join(f"w{k}x{i}" for i in range(60)) for k in range(30)] + [None, "few words"])
     measured = quality.base_measures(docs)

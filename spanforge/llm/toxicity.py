@@ -1,27 +1,31 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded sample of labelled documents, read whole. A text's terms are
-its words and word beginnings (5 to 7 letters), each at the rates that it reaches
-among the text's words (at all, 1 in 256, 1 in 128, 1 in 64), so a term says how dense a
-word is and not how long the text. The terms that tell the labels apart best
-(chi-squared over the sample) make the vocabulary, TF-IDF weights and the
-inverted index over the examples. The index is in blocks of examples with the largest weight of
-each term in each block: a query's bound for a block is one product of sums, blocks
-are opened from the highest bound on, and the search ends, exactly, when no
-bound reaches the least similarity that still counts.
-
-All examples at least as similar as the k-th vote, with the squared cosine times
-the inverse of their label's sampling rate, so the score estimates the share of
-toxic documents among such texts. The examples are the evidence.
-
-Defined results: texts without a known term (null and empty ones among them) get the
-weighted toxic share of the examples without one. Without examples, or
-with one label only, scores are that label's share (0 without any). Labels with a null
-id or null mark are ignored; of repeated labels the highest counts.
+its words and word beginnings (5 to 7 letters). Every term that tells the labels apart beyond
+chance, either way (chi-squared over the sample), is in the vocabulary, whatever
+their number; all words without such a term count together as one common term, so a
+vector says how dense the telling words are. Weights are TF-IDF: one plus the
+logarithm of the count (for the common term half the square root) times the inverse document
+frequency over the examples, at unit length.
+
+The inverted index is in blocks of examples with the largest weight of each term
+in each block: a query's bound for a block is one product of sums, blocks are opened
+from the highest bound on, and the search ends, exactly, when no bound reaches
+the least similarity that still counts. All examples at least as similar as the
+k-th vote, with the squared cosine times the inverse of their label's sampling
+rate. The votes of the examples themselves, each without itself, calibrate the
+score: a logistic curve over the vote's log-odds, fitted by weighted likelihood. The examples
+that voted are the evidence.
+
+Defined results: a text without any word (null and empty ones among them) gets the weighted
+toxic share of the examples. Without examples, or with one label only, scores are that
+label's share (0 without any); with fewer than ``LEAST`` examples of a label votes are not
+calibrated. Labels with a null id or null mark are ignored; of repeated labels the highest counts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -35,16 +39,18 @@ from spanforge.llm.common import append_columns, documents, fold, materialise, s
 
 #: Most examples of each label.
 EXAMPLES = 3000
-VOCABULARY = 256
 NEIGHBOURS = 8
 BLOCK = 64
-RATES = (0, 1 / 256, 1 / 128, 1 / 64)
 BEGINNINGS = (5, 6, 7)
 THRESHOLD = 0.7
 #: Least chi-squared of a term (one degree of freedom).
 SIGNIFICANT = 15.0
+#: Least examples of each label for a calibration.
+LEAST = 20
 #: Weight of the overall share in every vote.
 _PRIOR = 0.1
+#: Votes stay this far from 0 and 1 before their log-odds are taken.
+_EDGE = 1e-4
 
 _words = re.compile(r"\w+").findall
 
@@ -54,132 +60,178 @@ def stems(word: str) -> list[str]:
     return [word + "$"] + [word[:n] for n in BEGINNINGS if len(word) >= n]
 
 
-def terms(text: str | None, known=None) -> list[str]:
-    """Distinct terms ``stem@level`` of a text; with ``known`` (word to stems) only of these stems."""
-    words = _words(text.lower()) if text else []
+def stem_counts(text: str | None) -> Counter:
+    """How often each stem occurs in a text."""
     counts: Counter = Counter()
-    if known is None:
-        for word, n in Counter(words).items():
-            for stem in stems(word):
-                counts[stem] += n
-    else:
-        for found in map(known, words):
+    for word, n in Counter(_words(text.lower()) if text else []).items():
+        for stem in stems(word):
+            counts[stem] += n
+    return counts
+
+
+class Vocabulary(dict):
+    """Word to the numbers of its known stems, filled on first use."""
+
+    def __init__(self, names: list[str], limit: int = 400_000):
+        super().__init__()
+        self.number = {t: i for i, t in enumerate(names)}
+        self.limit = limit
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[word] = tuple(self.number[s] for s in stems(word) if s in self.number)
+        return found
+
+    def __reduce__(self):
+        return Vocabulary, (list(self.number), self.limit)
+
+    def counts(self, text: str | None) -> tuple[list[int], list[int], int]:
+        """Known terms in order, their counts, and the number of words without any."""
+        counts: Counter = Counter()
+        rest = 0
+        for found in map(self.__getitem__, _words(text.lower()) if text else ()):
             if found:
                 counts.update(found)
-    total = len(words)
-    return [f"{stem}@{k}" for stem, n in counts.items() for k, rate in enumerate(RATES) if n >= rate * total]
+            else:
+                rest += 1
+        terms = sorted(counts)
+        return terms, [counts[t] for t in terms], rest
 
 
 class Index:
-    """Block-max inverted index over example vectors of unit length."""
+    """Block-max inverted index over example vectors of unit length.
+
+    ``examples`` are (terms, counts, rest) as ``Vocabulary.counts`` gives them.
+    """
 
-    def __init__(self, vocabulary: list[str], examples: list[list[int]], labels: list[int], weights: tuple[float, float], ids: list | None = None):
-        self.term = {t: i for i, t in enumerate(vocabulary)}
+    def __init__(self, names: list[str], examples: list[tuple[list[int], list[int], int]], labels: list[int], weights: tuple[float, float], ids: list | None = None, id_type: T.DataType | None = None):
+        self.vocabulary = Vocabulary(names)
         self.ids = list(range(len(examples))) if ids is None else ids
-        known: dict[str, None] = {t.rsplit("@", 1)[0]: None for t in vocabulary}
-        self.stems = known
-        n = len(examples)
+        self.id_type = id_type or T.LongType()
+        n, self.size = len(examples), len(names) + 1
+        self.n = n
         self.labels = np.array(labels, dtype=np.int64)
-        self.votes = np.array(weights)[self.labels] if n else np.empty(0)
-        frequency = np.bincount(np.concatenate([np.array(e, dtype=np.int64) for e in examples]) if n else np.empty(0, dtype=np.int64), minlength=len(vocabulary))
+        self.votes = np.array(weights, dtype=np.float64)[self.labels] if n else np.empty(0)
+        frequency = np.zeros(self.size)
+        for terms, _, rest in examples:
+            frequency[terms] += 1
+            frequency[-1] += rest > 0
         self.idf = np.log((1 + n) / (1 + frequency)) + 1
-        postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        blank = np.ones(n, dtype=bool)
-        for i, example in enumerate(examples):
-            if example:
-                blank[i] = False
-                weight = self.idf[example] / np.sqrt((self.idf[example] ** 2).sum())
-                for t, w in zip(example, weight):
-                    postings[t].append((i, w))
-        blocks = -(-n // BLOCK)
-        self.peak = np.zeros((len(vocabulary), blocks))
+        vectors = [self.vector(*e) for e in examples]
+        self.blocks = -(-n // BLOCK)
+        self.peak = np.zeros((self.size, self.blocks))
         self.lists = []
-        for t, posting in enumerate(postings):
-            at = np.array([i for i, _ in posting], dtype=np.int64)
-            weight = np.array([w for _, w in posting])
-            np.maximum.at(self.peak[t], at // BLOCK, weight)
-            self.lists.append((at, weight, np.searchsorted(at, np.arange(blocks + 1) * BLOCK)))
-        self.n = n
+        for b in range(self.blocks):
+            part = vectors[b * BLOCK : (b + 1) * BLOCK]
+            term = np.concatenate([t for t, _ in part])
+            weight = np.concatenate([w for _, w in part])
+            member = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
+            np.maximum.at(self.peak[:, b], term, weight)
+            # the block's postings, one term after the other
+            order = np.argsort(term, kind="stable")
+            self.lists.append((term[order], member[order], weight[order]))
         every = self.votes.sum()
         self.share = float((self.votes * self.labels).sum() / every) if n else 0.0
-        none = self.votes[blank].sum()
-        self.blank = float((((self.votes * self.labels)[blank]).sum() + _PRIOR * self.share) / (none + _PRIOR)) if n else 0.0
-        self.seen: dict[tuple, tuple[float, list[int]]] = {}
-
-    def nearest(self, query: list[int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of all that are at least as similar as the k-th and have a term of the query."""
-        weight = self.idf[query] / np.sqrt((self.idf[query] ** 2).sum())
-        bounds = weight @ self.peak[query]
+        self.plain: tuple[float, list[int]] | None = None
+        self.curve = (1.0, 0.0)
+        sides = np.bincount(self.labels, minlength=2) if n else (0, 0)
+        if min(sides[0], sides[1]) >= LEAST:
+            left = np.array([self._vote(v, skip=i)[0] for i, v in enumerate(vectors)])
+            self.curve = logistic(left, self.labels, self.votes)
+
+    def vector(self, terms: list[int], counts: list[int], rest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of unit length; the last term stands for the words without any."""
+        at = np.array([*terms, self.size - 1] if rest else terms, dtype=np.int64)
+        weight = np.array([1 + math.log(c) for c in counts] + ([math.sqrt(rest) / 2] if rest else []))
+        weight = weight * self.idf[at]
+        return at, weight / np.sqrt((weight**2).sum()) if len(at) else weight
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of all that are at least as similar as the k-th and share a term; without example ``skip``."""
+        none = np.empty(0, dtype=np.int64), np.empty(0)
+        if not len(at) or not self.n:
+            return none
+        bounds = weight @ self.peak[at]
         order = np.argsort(-bounds, kind="stable")
+        query = np.zeros(self.size)
+        query[at] = weight
         who, how, least = [], [], 0.0
-        for a in range(0, len(order), 8):
-            opened = order[a : a + 8]
-            opened = opened[(bounds[opened] > 0) & (bounds[opened] >= least - 1e-12)]
-            if not len(opened):
+        for b in order.tolist():
+            if bounds[b] <= 0 or bounds[b] < least - 1e-12:
                 break
-            scores: dict[int, np.ndarray] = {b: np.zeros(BLOCK) for b in opened.tolist()}
-            for t, w in zip(query, weight):
-                at, value, starts = self.lists[t]
-                for b, score in scores.items():
-                    low, high = starts[b], starts[b + 1]
-                    if low < high:
-                        score[at[low:high] - b * BLOCK] += w * value[low:high]
-            for b, score in scores.items():
-                hit = np.flatnonzero(score > 0)
-                who.append(hit + b * BLOCK)
-                how.append(np.round(score[hit], 12))
+            term, member, held = self.lists[b]
+            score = np.round(np.bincount(member, query[term] * held, BLOCK), 12)
+            if skip >= 0 and skip // BLOCK == b:
+                score[skip % BLOCK] = 0
+            hit = np.flatnonzero(score > 0 if not least else score >= least)
+            if not len(hit):
+                continue
+            who.append(hit + b * BLOCK)
+            how.append(score[hit])
             every = np.concatenate(how)
             if len(every) >= k:
                 least = float(np.partition(every, len(every) - k)[len(every) - k])
         if not who:
-            return np.empty(0, dtype=np.int64), np.empty(0)
+            return none
         who_, how_ = np.concatenate(who), np.concatenate(how)
         keep = how_ >= least
         order = np.lexsort((who_[keep], -how_[keep]))
         return who_[keep][order], how_[keep][order]
 
-    def known(self, word: str) -> tuple[str, ...]:
-        return tuple(s for s in stems(word) if s in self.stems)
-
-    def score(self, found: list[str]) -> tuple[float, list[int]]:
-        """Score and the first examples of evidence of a text's terms."""
-        query = sorted(self.term[t] for t in found if t in self.term)
-        if not query or not self.n:
-            return self.blank, []
-        key = tuple(query)
-        if key not in self.seen:
-            who, cosine = self.nearest(query)
-            vote = self.votes[who] * cosine**2
-            score = float(((vote * self.labels[who]).sum() + _PRIOR * self.share) / (vote.sum() + _PRIOR))
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[key] = (score, [self.ids[i] for i in who[:5].tolist()])
-        return self.seen[key]
-
-
-class _Words(dict):
-    """Word to its known stems, filled on first use."""
-
-    def __init__(self, index: Index, limit: int = 400_000):
-        super().__init__()
-        self.index, self.limit = index, limit
-
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = self.index.known(word)
-        return found
-
-
-def fit_index(docs: DataFrame, labels: DataFrame, train=None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, vocabulary: int = VOCABULARY) -> Index:
+    def _vote(self, vector: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray]:
+        who, cosine = self.nearest(*vector, skip=skip)
+        vote = self.votes[who] * cosine**2
+        return float(((vote * self.labels[who]).sum() + _PRIOR * self.share) / (vote.sum() + _PRIOR)), who
+
+    def score(self, text: str | None) -> tuple[float, list]:
+        """Score and the first examples of evidence of a text."""
+        terms, counts, rest = self.vocabulary.counts(text)
+        if not self.n or not (terms or rest):
+            return self.share, []
+        if not terms:
+            if self.plain is None:
+                self.plain = self._scored(self.vector(terms, counts, 1))
+            return self.plain
+        return self._scored(self.vector(terms, counts, rest))
+
+    def _scored(self, vector) -> tuple[float, list]:
+        vote, who = self._vote(vector)
+        return calibrated(vote, self.curve), [self.ids[i] for i in who[:5].tolist()]
+
+
+def calibrated(vote: float, curve: tuple[float, float]) -> float:
+    if curve == (1.0, 0.0):
+        return vote
+    vote = min(max(vote, _EDGE), 1 - _EDGE)
+    return 1 / (1 + math.exp(-(curve[0] * math.log(vote / (1 - vote)) + curve[1])))
+
+
+def logistic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the likeliest logistic curve over the votes' log-odds; no change where none with a rising slope is found."""
+    x = np.clip(votes, _EDGE, 1 - _EDGE)
+    x = np.log(x / (1 - x))
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        miss, bend = weights * (p - labels), weights * p * (1 - p) + 1e-9
+        # a slight pull to the slope 1 keeps the curve finite where the votes part the labels
+        slope = np.array([(miss * x).sum() + 0.01 * (a - 1), miss.sum() + 0.01 * b])
+        curve = np.array([[(bend * x * x).sum() + 0.01, (bend * x).sum()], [(bend * x).sum(), bend.sum() + 0.01]])
+        step = np.clip(np.linalg.solve(curve, slope), -1, 1)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-10:
+            break
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+
+def fit_index(docs: DataFrame, labels: DataFrame, train=None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Index:
     """The index over at most ``examples`` labelled documents of each label (smallest hashes of the id).
 
     ``train`` is a boolean column over ``id_col``. Terms are counted by the executors; the driver gets
-    the vocabulary and the examples' term numbers.
+    the vocabulary and the examples' counts, both bounded by the sample.
     """
-    marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
-    if train is not None:
-        marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"), train.alias("u")).where("u and i is not null and y in (0, 1)")
+    marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"), (F.lit(True) if train is None else train).alias("u")).where("u and i is not null and y in (0, 1)")
     marks = materialise(marks.groupBy("i").agg(F.max("y").alias("y")), "marks")
     all_ = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = smallest_hashes(marks, "y", "i", examples).select("i", "y")
@@ -192,7 +244,7 @@ def fit_index(docs: DataFrame, labels: DataFrame, train=None, *, id_col: str = "
         for whole in batches:
             for batch in slices(whole):
                 for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    held[y].update(terms(text))
+                    held[y].update(stem_counts(text).keys())
         names = list(held[0].keys() | held[1].keys())
         for a in range(0, len(names), 100_000):
             part = names[a : a + 100_000]
@@ -204,34 +256,33 @@ def fit_index(docs: DataFrame, labels: DataFrame, train=None, *, id_col: str = "
     a, b = F.col("a"), F.col("b")
     lean = b * n0 - a * n1
     chi = (n0 + n1) * lean * lean / F.greatest((a + b) * (n0 + n1 - a - b) * F.lit(float(n0) * n1), F.lit(1.0))
-    # only terms that lean to the label 1 beyond chance: the rest of a text says nothing of its toxicity
-    best = counts.where((lean > 0) & (chi >= SIGNIFICANT)).orderBy(chi.desc(), "term").limit(vocabulary)
-    names = sorted(r["term"] for r in best.collect())
-    at = {t: i for i, t in enumerate(names)}
-    stems_ = {t.rsplit("@", 1)[0] for t in names}
+    names = sorted(r["term"] for r in counts.where(chi >= SIGNIFICANT).select("term").collect())
+    known = Vocabulary(names)
 
     def vectors(batches):
         for whole in batches:
             for batch in slices(whole):
-                found = [sorted(at[t] for t in terms(text, lambda w: tuple(s for s in stems(w) if s in stems_)) if t in at) for text in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["i", "y", "v"])
-
-    rows = sample.select("i", "t", "y").mapInArrow(vectors, T.StructType([sample.schema["i"], T.StructField("y", T.IntegerType()), T.StructField("v", T.ArrayType(T.IntegerType()))])).collect()
-    rows.sort(key=lambda r: (r["v"], r["y"], r["i"]))
+                found = [known.counts(text) for text in batch.column(1).to_pylist()]
+                cols = [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["i", "y", "v", "c", "r"])
+
+    many = T.ArrayType(T.IntegerType())
+    schema = T.StructType([sample.schema["i"], T.StructField("y", T.IntegerType()), T.StructField("v", many), T.StructField("c", many), T.StructField("r", T.LongType())])
+    rows = sample.select("i", "t", "y").mapInArrow(vectors, schema).collect()
+    # examples of like terms share a block
+    rows.sort(key=lambda r: (r["v"], r["y"], r["c"], r["r"], r["i"]))
     weights = tuple(all_.get(y, 0) / max(1, sizes.get(y, 0)) for y in (0, 1))
     scale = sum(weights) / 2 or 1
-    return Index(names, [r["v"] for r in rows], [r["y"] for r in rows], (weights[0] / scale, weights[1] / scale), [r["i"] for r in rows])
+    return Index(names, [(r["v"], r["c"], r["r"]) for r in rows], [r["y"] for r in rows], (weights[0] / scale, weights[1] / scale), [r["i"] for r in rows], sample.schema["i"].dataType)
 
 
 def score_texts(docs: DataFrame, index: Index, *, text_col: str = "text", score_out: str = "score", evidence_out: str | None = "evidence") -> DataFrame:
     """All rows and columns with the score and the ids of the nearest examples (at most five)."""
-    fields = [(score_out, T.DoubleType())] + ([(evidence_out, T.ArrayType(T.LongType()))] if evidence_out else [])
+    fields = [(score_out, T.DoubleType())] + ([(evidence_out, T.ArrayType(index.id_type))] if evidence_out else [])
 
     def make():
-        known = _Words(index).__getitem__
-
         def run(texts):
-            found = [index.score(terms(t, known)) for t in texts]
+            found = [index.score(t) for t in texts]
             return [[f[0] for f in found]] + ([[f[1] for f in found]] if evidence_out else [])
 
         return run

@@ -93,25 +93,35 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return simple[kind.simpleString()]
 
 
+#: Groups whose shares a plan may hold as literals.
+GROUPS = 10_000
+
+
 def smallest_hashes(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """The ``n`` rows of each group with the smallest hashes of the key (ties by key).
 
-    Groups are counted first, so only about ``4 n`` rows of a group are ranked in its
+    Groups are counted first, so little more than ``n`` rows of a group are ranked in its
     task, however many the group has. Where that share gives too few (keys that
-    repeat), all are ranked. There may be 10,000 groups.
+    repeat), or where there are more than ``GROUPS`` groups, all are ranked.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(group).agg(F.count("*")).limit(10_001).collect()}
-    if len(counts) > 10_000:
-        raise ValueError(f"more than 10,000 values of {group}")
-    if not counts:
-        return rows
-    place = F.xxhash64(key) / float(1 << 64) + 0.5
-    shares = F.create_map(*[F.lit(x) for g, c in counts.items() for x in (g, min(1.0, 4.0 * n / c))])
     order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
 
     def pick(some: DataFrame) -> DataFrame:
         return some.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
+    counts = {r[0]: r[1] for r in rows.groupBy(group).agg(F.count("*")).limit(GROUPS + 1).collect()}
+    if not counts:
+        return rows
+    if len(counts) > GROUPS:
+        return pick(rows)
+    place = F.xxhash64(key) / float(1 << 64) + 0.5
+    # six standard deviations above n rows
+    shares = literal_map({g: min(1.0, (n + 6 * n**0.5 + 10) / c) for g, c in counts.items()})
     sifted = pick(rows.where(place <= F.element_at(shares, F.col(group))))
     found = {r[0]: r[1] for r in sifted.groupBy(group).agg(F.count("*")).collect()}
     return sifted if all(found.get(g, 0) == min(n, c) for g, c in counts.items()) else pick(rows)
+
+
+def literal_map(values: dict) -> Column:
+    """A map column of literals; it travels with the plan, so its size must be bounded."""
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])

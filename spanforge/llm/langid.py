@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import append_columns, documents, fold, slices, smallest_hashes
+from spanforge.llm.common import GROUPS, append_columns, documents, fold, literal_map, slices, smallest_hashes
 
 UNKNOWN = "und"
 _BITS = 21
@@ -118,7 +118,14 @@ def fit_profiles(docs: DataFrame, train=None, *, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"), (F.lit(True) if train is None else train).alias("u")).where("u and l is not null").withColumn("h", F.xxhash64("i"))
     limits = smallest_hashes(rows.select("l", "i"), "l", "i", sample).groupBy("l").agg(F.max(F.xxhash64("i")).alias("top"))
-    chosen = rows.join(limits, "l").where("h <= top").select("l", "t")
+    tops = {r["l"]: r["top"] for r in limits.limit(GROUPS + 1).collect()}
+    if not tops:
+        return Profiles({}, size)
+    if len(tops) <= GROUPS:
+        # the texts are sifted where they are read
+        chosen = rows.where(F.col("h") <= F.element_at(literal_map(tops), F.col("l"))).select("l", "t")
+    else:
+        chosen = rows.join(limits, "l").where("h <= top").select("l", "t")
 
     def count(batches):
         for whole in batches:

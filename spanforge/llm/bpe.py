@@ -10,8 +10,8 @@ them. A hypothesis lives no longer than the longest token, so the lookahead is
 bounded and long inputs are emitted as they are read.
 
 A match of the pattern that is itself a token is that token, as in the public
-library. Decoding is by ids; ``Utf8Decoder`` takes bytes in any portions and
-gives text as soon as it is complete.
+library. Decoding streams the tokens' bytes through ``Utf8Decoder``, an incremental UTF-8 state
+machine that gives text as soon as it is complete, so a token may end inside a character.
 
 Defined results: null and empty texts have no ids. An id that is no token is an error.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -191,6 +192,23 @@ class Transducer:
         return starts.pop()
 
 
+class _WholeTexts(dict):
+    """Token id to its text, None where its bytes begin or end inside a character; worked out by the machine when first needed."""
+
+    def __init__(self, pieces: list[bytes | None]):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, number: int) -> str | None:
+        piece = self.pieces[number]
+        if piece is None:
+            raise KeyError(f"{number} is no token")
+        stream = Utf8Decoder()
+        text = stream.feed(piece)
+        found = self[number] = text if not stream.due and text.encode("utf-8") == piece else None
+        return found
+
+
 class BpeCodec:
     """Encoder and decoder over a file of ranks."""
 
@@ -206,6 +224,7 @@ class BpeCodec:
         self.pieces: list[bytes | None] = [None] * size
         for piece, number in self.ranks.items():
             self.pieces[number] = piece
+        self.texts = _WholeTexts(self.pieces)
 
     def _pack(self, text: str) -> bytes:
         out = array("I")
@@ -222,9 +241,20 @@ class BpeCodec:
         """Ids as little-endian unsigned 32-bit integers."""
         return encode_by_units(text, self._pack, self.unit) if text else b""
 
-    def decode(self, packed: bytes) -> bytes:
-        """The bytes of packed ids."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+    def decode(self, packed: bytes, portion: int = 8192) -> Iterator[str]:
+        """The text of packed ids, in portions of that many ids: a stream through the UTF-8 machine.
+
+        Between characters a token that is whole text goes through as it is; its text is
+        remembered. Any other token is fed to the machine byte by byte.
+        """
+        stream, texts = Utf8Decoder(), self.texts
+        for at in range(0, len(packed), 4 * portion):
+            out = []
+            for number in np.frombuffer(packed[at : at + 4 * portion], dtype="<u4").tolist():
+                text = None if stream.due else texts[number]
+                out.append(stream.feed(self.pieces[number]) if text is None else text)
+            yield "".join(out)
+        yield stream.close()
 
 
 class Utf8Decoder:
@@ -298,9 +328,7 @@ def decode_column(docs: DataFrame, *, ids_col: str = "ids", out: str = "decoded"
         def run(values):
             found = []
             for packed in values:
-                stream = Utf8Decoder()
-                data = decode(packed or b"")
-                found.append(data.decode("ascii") if data.isascii() else stream.feed(data) + stream.close())
+                found.append("".join(decode(packed or b"")))
             return [found]
 
         return run
@@ -320,7 +348,10 @@ def digests(docs: DataFrame, *, text_col: str = "text", ranks_path: str | None =
                 packed = both.encode(text)
                 counts.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(hashlib.sha256(both.decode(packed)).hexdigest())
+                digest = hashlib.sha256()
+                for portion in both.decode(packed):
+                    digest.update(portion.encode("utf-8"))
+                decoded.append(digest.hexdigest())
             return [counts, ids, decoded]
 
         return run

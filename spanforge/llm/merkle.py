@@ -9,12 +9,16 @@ sections and then differing leaves say where two texts differ.
 
 Defined results: a null text is the empty text; its fingerprint has no section
 and no leaf. Equal texts have equal fingerprints. Documents are ordered by id,
-null ids first and equal ids by their text. A single document is its own
+null ids first and equal ids by a hash of their text. A single document is its own
 successor. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +28,9 @@ HEX = 16
 FANOUT = 8
 PARAGRAPH = r"[^\n.!?]*[\n.!?]+|[^\n.!?]+"
 
-#: Bits of the id that one level of neighbour search covers: 1,024 ids, then 1,024 such ranges.
-_BITS = 10
+#: Rows that one range of the successor search holds, and the most ranges; beyond that the ranges grow.
+ROWS_PER_RANGE = 4096
+MOST_RANGES = 1 << 16
 
 
 def _short(text: Column) -> Column:
@@ -78,29 +83,55 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", out: str = "fingerp
     return docs.withColumn(out, fingerprint(leaves(F.coalesce(F.col(text_col), F.lit("")))))
 
 
-def with_successor(docs: DataFrame, key: str, payload: list[str]) -> DataFrame:
+def _ranges(keys: DataFrame, rows_per_range: int, most: int) -> Column:
+    """The number of a row's range by its ``_key`` and ``_tie``: ranges ascend with both and hold about equal numbers of rows.
+
+    Bounds are approximate percentiles of the keys, so any spread of ids gives even ranges. A key
+    that fills several of them is dealt on by ``_tie``, a hash. The driver gets at most ``most`` numbers.
+    """
+    count = keys.count()
+    parts = max(1, min(most, count // rows_per_range))
+    if parts == 1:
+        return F.lit(0)
+    cuts = F.from_json(F.lit(json.dumps([i / parts for i in range(1, parts)])), "array<double>")
+    bounds = keys.agg(F.percentile_approx("_key", cuts, max(10_000, 8 * parts))).collect()[0][0]
+    step = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[a : a + step] for a in range(0, len(bounds), step)]
+    nested = F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>")
+    lasts = F.from_json(F.lit(json.dumps([block[-1] for block in blocks])), "array<bigint>")
+    key = F.col("_key")
+    # bounds below the key: whole blocks, then those of the block that the key falls into
+    whole = F.size(F.filter(lasts, lambda x: x < key))
+    below = whole * step + F.size(F.filter(F.coalesce(F.get(nested, whole), F.array().cast("array<bigint>")), lambda x: x < key))
+    often = {x: n for x, n in Counter(bounds).items() if n > 1}
+    if not often:
+        return below
+    same = F.coalesce(F.element_at(F.from_json(F.lit(json.dumps({str(x): n for x, n in often.items()})), "map<string,int>"), key.cast("string")), F.lit(0))
+    share = F.col("_tie") / F.lit(2.0**64) + F.lit(0.5)
+    return below + F.floor(share * same).cast("int")
+
+
+def with_successor(docs: DataFrame, key: str, payload: list[str], *, rows_per_range: int = ROWS_PER_RANGE, most: int = MOST_RANGES) -> DataFrame:
     """Each row with ``next``, a struct of the ``payload`` of the row that follows by ``key``; the first follows the last.
 
-    Rows are dealt out once, by ranges of 1,024 keys. The last row of a range finds
-    its successor among the first rows of ranges, 1,024 ranges at a time, and
-    only the last rows of those meet in one place: a millionth of all rows.
+    Rows of equal keys follow one another by a hash of their payload. Rows are dealt out once, by ranges of
+    about ``rows_per_range`` rows; the first row of each range joins the range before it once more, as the
+    successor of that range's last row. These firsts are found from keys alone, one row a range.
     """
-    rows = docs.withColumn("_range", F.shiftright(F.col(key), _BITS))
-    # the projection of the payload stays above the exchange
-    rows = rows.repartition(F.col("_range")) if len(payload) else rows
-    out, level = [], rows.withColumn("_first", F.lit(True)).withColumn("_last", F.lit(True))
-    for _ in range(2):
-        order = Window.partitionBy("_range").orderBy(key, *payload, F.desc("_first"))
-        found = level.withColumn("next", F.lead(F.struct(*payload)).over(order)).withColumn("_at", F.row_number().over(order))
-        out.append(found.where("_last and next is not null"))
-        first = found.where("_at = 1").withColumns({"_first": F.lit(True), "_last": F.lit(False)})
-        last = found.where("_last and next is null").withColumns({"_first": F.lit(False), "_last": F.lit(True)})
-        level = first.unionByName(last).drop("next", "_at").withColumn("_range", F.shiftright(F.col("_range"), _BITS))
-    order = Window.orderBy(key, *payload, F.desc("_first"))
-    whole = Window.orderBy(key, *payload, F.desc("_first")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    top = level.withColumn("next", F.coalesce(F.lead(F.struct(*payload)).over(order), F.first(F.struct(*payload)).over(whole)))
-    out.append(top.where("_last").withColumn("_at", F.lit(0)))
-    return out[0].unionByName(out[1]).unionByName(out[2]).drop("_range", "_first", "_last", "_at")
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{key}`").alias("_key"), F.xxhash64(*[F.col(f"`{c}`") for c in payload]).alias("_tie"))
+    rows = rows.withColumn("_range", _ranges(rows.select("_key"), rows_per_range, most))
+    # one row a range, at most ``most``: small enough to order in one place and to broadcast
+    heads = rows.groupBy("_range").agg(F.min(F.struct("_key", "_tie")).alias("_head"))
+    order = Window.orderBy("_range")
+    last = F.last("_range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select(F.col("_range").alias("_own"), F.col("_head._key").alias("_k"), F.col("_head._tie").alias("_t"), F.coalesce(F.lag("_range").over(order), last).alias("_before"))
+    first = rows.join(F.broadcast(heads), (F.col("_range") == F.col("_own")) & (F.col("_key") == F.col("_k")) & (F.col("_tie") == F.col("_t")))
+    first = first.groupBy("_before").agg(F.first("_row").alias("_row"), F.first("_key").alias("_key"), F.first("_tie").alias("_tie")).withColumnRenamed("_before", "_range")
+    every = rows.withColumn("_extra", F.lit(False)).unionByName(first.withColumn("_extra", F.lit(True)))
+    along = Window.partitionBy("_range").orderBy("_extra", "_key", "_tie")
+    found = every.withColumn("next", F.lead(F.struct(*[F.col("_row").getField(c).alias(c) for c in payload])).over(along)).where(~F.col("_extra"))
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in names if c != "next"], "next")
 
 
 def op9_fingerprints(spark, sf_dir):

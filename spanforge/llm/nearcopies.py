@@ -1,15 +1,24 @@
-"""Near copies by the Jaccard likeness of the texts' five-word shingles, 0.8 or more.
-
-Texts of the same shingle set are one class. A class is filed by each of 32 bands of
-6 minimum hashes, so two of likeness 0.8 share a file with a chance of 0.99994 and more alike ones
-with a higher one. The likeness of a pair that shares a file is then counted exactly from the two texts. Each file's
-members are first compared with one of them; after that all members of the file
-that are not yet connected are compared each with each, so a large group of
-copies costs as many comparisons as it has members.
+"""Near copies: SimHash fingerprints compared bit-sliced at a wide radius, each link confirmed by exact likeness.
+
+Two texts are near copies if the sets of their five-word shingles have a Jaccard
+likeness of 0.8 or more. Their SimHash fingerprints then differ in 9.7 of 64 bits
+on average (standard deviation 2.9), so the radius is 24: more than four standard deviations above, also for
+texts of few shingles. At such a radius blocks of agreeing bits file nothing (25 blocks of two
+or three bits), so texts are filed by 32 bands of 6 minimum hashes of the same shingles: two of likeness 0.8 share
+a file with a chance of 0.99994, more alike ones with a higher one.
+
+Texts of the same shingle set are one class and take part once. Classes that
+are connected by files form a group. The members of a group that fits a run (``RUN``
+members) meet once and each is compared with each. A larger group is
+taken file by file, each file dealt into runs by hash; what the links within the
+runs leave apart is then compared with all runs of its file. So a large group of
+copies costs runs x ``RUN`` comparisons a member, plus the few left apart against the file. A run's
+fingerprints stand in bit planes (``simhash.close_pairs``), and only pairs within the radius have their shared
+shingles counted. Runs give spanning forests, not pairs.
 
 Defined results: words are separated by ASCII white space, in lower case (ASCII); a text of fewer than five words
 is one shingle; null, empty and blank texts have the empty set and are one class. A null id stays
-only where all ids of the component are null.
+only where all ids of the component are null. An empty table gives no rows. Sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,14 +31,20 @@ from pyspark.sql import types as T
 
 from spanforge.llm.common import append_columns, materialise
 from spanforge.llm.components import connected_components
+from spanforge.llm.simhash import close_pairs, majority
 
 WORDS = 5
 #: Least likeness as a fraction of whole numbers: 4 / 5.
 LEAST = (4, 5)
+RADIUS = 24
 BANDS, ROWS = 32, 6
 SEED = 42
-#: Shingles whose hashes are held at once.
+#: Members of a run, and shingles of all of them.
+RUN = 256
+RUN_SHINGLES = 1 << 20
+#: Shingles whose hashes are held at once; rows and bytes of whole runs that are compared at once.
 _STEP = 2048
+_HELD_ROWS, _HELD_BYTES = 2048, 1 << 24
 
 
 def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:
@@ -45,12 +60,6 @@ def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(s, SEED) for s in map(b" ".join, zip(*[words[i:] for i in range(width)]))], dtype=np.uint64))
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the likeness of two shingle sets is at least ``LEAST``, in whole numbers."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
-
-
 def banding():
     """A function from a shingle set to its band keys."""
     import xxhash
@@ -62,13 +71,13 @@ def banding():
         least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
         for at in range(0, len(hashes), _STEP):
             np.minimum(least, (mult[:, None] * hashes[None, at : at + _STEP] + add[:, None]).min(axis=1), out=least)
-        return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in least.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64)
+        return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
 
     return keys
 
 
 def filed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns with ``set`` (the mark of the shingle set), ``size`` and ``bands``."""
+    """All rows and columns with ``set`` (the mark of the shingle set), ``size``, ``fp`` (SimHash of the set) and ``bands``."""
 
     def make():
         import xxhash
@@ -78,63 +87,149 @@ def filed(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def run(texts):
             sets = [shingles(t) for t in texts]
             marks = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            return [marks, [len(s) for s in sets], [keys(s) if len(s) else [] for s in sets]]
+            prints = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            return [marks, [len(s) for s in sets], prints, [keys(s) if len(s) else [] for s in sets]]
 
         return run
 
-    return append_columns(docs, text_col, [("set", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType()))], make, as_bytes=True)
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose likeness, counted from (set, text), is enough."""
-    whole = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", F.col("ta").cast("binary"), F.col("tb").cast("binary"))
+    return append_columns(docs, text_col, [("set", T.LongType()), ("size", T.LongType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType()))], make, as_bytes=True)
+
+
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common members of the sets ``i`` and ``j``, pair by pair; by products of incidence blocks where there are many pairs."""
+    if len(i) <= 2 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], dtype=np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = often[column] > 1
+    row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        block = np.zeros((len(sets), 4096), dtype=np.float32)
+        block[row[a:b], column[a:b] - low] = 1
+        counts += block @ block.T
+    return counts[i, j].astype(np.int64)
+
+
+def forest(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place that links connect each of ``count`` places with."""
+    label = np.arange(count)
+    while len(i):
+        before = label.copy()
+        np.minimum.at(label, j, label[i])
+        np.minimum.at(label, i, label[j])
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def compared(runs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Forests (a, b) of the near copies within each run of ``runs`` (u, v, w, set, fp, size, root); pairs of one root are taken as linked."""
 
     def run(batches):
-        last, held = None, None
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool):
+            whole = pa.Table.from_batches(held).combine_chunks()
+            key = np.stack([whole.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            upto = len(key) if last else (int(cuts[-1]) if len(cuts) else 0)
+            held[:] = whole.slice(upto).to_batches()
+            if not upto:
+                return
+            bounds = np.concatenate(([0], cuts[cuts < upto], [upto]))
+            mark, fp, size, root = (whole.column(k).to_numpy()[:upto] for k in range(3, 7))
+            body = whole.column(7)
+            i, j = close_pairs(fp.view(np.uint64), bounds, RADIUS)
+            fit = LEAST[1] * np.minimum(size[i], size[j]) >= LEAST[0] * np.maximum(size[i], size[j])
+            fit &= (root[i] != root[j]) & (mark[i] != mark[j])
+            i, j = i[fit], j[fit]
+            if not len(i):
+                return
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            found = []
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                a, b = np.searchsorted(i, [low, high])
+                if a == b:
+                    continue
+                used, places = np.unique(np.concatenate((i[a:b], j[a:b])), return_inverse=True)
+                x, y = places[: b - a], places[b - a :]
+                sets = [shingles(body[int(k)].as_py()) for k in used]
+                both = shared_counts(sets, x, y)
+                lengths = np.array([len(s) for s in sets])
+                near = LEAST[1] * both >= LEAST[0] * (lengths[x] + lengths[y] - both)
+                label = forest(len(used), x[near], y[near])
+                leaf = np.flatnonzero(label != np.arange(len(used)))
+                found.append((mark[used[leaf]], mark[used[label[leaf]]]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
         for batch in batches:
-            a, b, ta, tb = batch.columns
-            marks, keep = a.to_pylist(), []
-            for k, mark in enumerate(marks):
-                if mark != last:
-                    last, held = mark, shingles(ta[k].as_py())
-                keep.append(alike(held, shingles(tb[k].as_py())))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+            for start in range(0, batch.num_rows, _STEP):
+                held.append(batch.slice(start, _STEP))
+                if sum(b.num_rows for b in held) >= _HELD_ROWS or sum(b.column(7).nbytes for b in held) >= _HELD_BYTES:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
 
-    return whole.mapInArrow(run, "a long, b long")
+    whole = runs.join(texts, "set").select("u", "v", "w", "set", "fp", "size", "root", F.col("text").cast("binary").alias("text"))
+    return whole.repartition("u", "v", "w").sortWithinPartitions("u", "v", "w").mapInArrow(run, "a long, b long")
 
 
-def _sizes_fit(a, b):
-    """Two sets can be alike only if the smaller is that share of the larger."""
-    return LEAST[1] * F.least(a, b) >= LEAST[0] * F.greatest(a, b)
+def _runs_of(count, size):
+    """The number of runs that so many members of so many shingles need."""
+    return F.ceil(F.greatest(count / F.lit(RUN), size / F.lit(RUN_SHINGLES), F.lit(1.0))).cast("int")
 
 
 def linked(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the sets that have a near copy; ``classes`` is (set, size, bands), one row a set."""
-    rows = materialise(classes.where("size > 0").select("set", "size", F.posexplode("bands").alias("band", "key")), "bands")
-    first = F.min_by(F.struct("set", "size"), F.xxhash64("set", "band", "key"))
-    heads = rows.groupBy("band", "key").agg(F.count("*").alias("n"), first.alias("head")).where("n > 1")
-    files = materialise(rows.join(heads, ["band", "key"]).where("set <> head.set"), "files")
-    star = files.where(_sizes_fit(F.col("size"), F.col("head.size")))
-    tried = materialise(star.select(F.least("set", "head.set").alias("a"), F.greatest("set", "head.set").alias("b")).distinct(), "pairs")
-    found = materialise(verified(tried, texts), "links")
-    roots = connected_components(found)
-    # what one member's links leave apart, group against group of the same file
-    rest = files.where("n > 2").join(roots, files["set"] == roots["node"], "left").select("band", "key", F.coalesce("root", "set").alias("root"), F.struct("set", "size").alias("m"))
-    groups = materialise(rest.groupBy("band", "key", "root").agg(F.collect_list("m").alias("ms")), "groups")
-    left, right = groups.toDF("band", "key", "r1", "ms1"), groups.toDF("band", "key", "r2", "ms2")
-    cross = left.join(right, ["band", "key"]).where("r1 < r2").select(F.explode("ms1").alias("x"), "ms2").select("x", F.explode("ms2").alias("y")).where(_sizes_fit(F.col("x.size"), F.col("y.size")))
-    pairs = cross.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return connected_components(found.unionByName(materialise(verified(pairs, texts), "links")))
+    """(node, root) of the sets that have a near copy; ``classes`` is (set, size, fp, bands), ``texts`` (set, text), one row a set."""
+    rows = materialise(classes.where("size > 0").select("set", F.explode("bands").alias("key")), "bands")
+    heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("head")).where("n > 1").select("key", "head")
+    files = materialise(rows.join(heads, "key"), "files")
+    groups = connected_components(files.select(F.col("head").alias("a"), F.col("set").alias("b")))
+    members = classes.select("set", "size", "fp").join(groups, F.col("set") == F.col("node")).select("set", "size", "fp", F.col("root").alias("group"))
+    wide = members.groupBy("group").agg(_runs_of(F.count("*"), F.sum("size")).alias("runs"))
+    members = materialise(members.join(wide, "group"), "members")
+    none = F.lit(0).cast("long")
+    small = members.where("runs = 1").select(F.col("group").alias("u"), none.alias("v"), none.alias("w"), "set", "fp", "size", F.col("set").alias("root"))
+    links = materialise(compared(small, texts), "links")
+    large = members.where("runs > 1").select("set", "size", "fp")
+    if large.isEmpty():
+        return connected_components(links)
+
+    # file by file, a file's members dealt into runs
+    filed_ = materialise(files.select("key", "set").join(large, "set"), "large")
+    sizes = filed_.groupBy("key").agg(_runs_of(F.count("*"), F.sum("size")).alias("runs"))
+    dealt = filed_.join(sizes, "key").withColumn("run", F.pmod(F.xxhash64("set", "key"), F.col("runs").cast("long")))
+    within = dealt.select(F.col("key").alias("u"), F.col("run").alias("v"), none.alias("w"), "set", "fp", "size", F.col("set").alias("root"))
+    links = links.unionByName(materialise(compared(within, texts), "links"))
+    roots = connected_components(links)
+
+    # what is not connected with most of its file, against all runs of the file
+    named = materialise(dealt.where("runs > 1").join(roots, F.col("set") == F.col("node"), "left").select("key", "run", "runs", "set", "fp", "size", F.coalesce("root", "set").alias("root")), "named")
+    most = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    apart = named.join(most, "key").where("root <> main").drop("main")
+    need = apart.groupBy("key").agg(_runs_of(F.count("*"), F.sum("size")).alias("others"))
+    tile = F.struct(F.col("run").alias("v"), F.col("other").alias("w"))
+    apart = apart.join(need, "key").withColumn("other", F.pmod(F.xxhash64("set", "key", F.lit(1)), F.col("others").cast("long")))
+    one = apart.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs").cast("long") - 1)))
+    two = named.join(need, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)))
+    tiles = one.unionByName(two.select(*one.columns)).select(F.col("key").alias("u"), tile.alias("t"), "set", "fp", "size", "root").select("u", "t.v", "t.w", "set", "fp", "size", "root").distinct()
+    return connected_components(links.unionByName(materialise(compared(tiles, texts), "links")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of least id stays, of equal ids one."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    stored = materialise(filed(rows).select("row", "set", "size", "bands", F.monotonically_increasing_id().alias("place")), "shingles")
-    classes = stored.groupBy("set").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    one = stored.groupBy("set").agg(F.min("place").alias("place"))
-    texts = stored.select("set", "place", F.col("row").getField(text_col).alias("text")).join(one, ["set", "place"], "left_semi").select("set", "text")
+    stored = materialise(filed(rows).select("row", "set", "size", "fp", "bands", F.monotonically_increasing_id().alias("place")), "shingles")
+    classes = stored.groupBy("set").agg(*[F.first(c).alias(c) for c in ("size", "fp", "bands")], F.min("place").alias("place"))
+    classes = materialise(classes, "classes")
+    texts = stored.select("place", F.col("row").getField(text_col).alias("text")).join(classes.select("set", "place"), "place").select("set", "text")
     roots = linked(classes, texts)
     marked = stored.select("set", F.col("row").getField(id_col).alias("doc_id"), "place").join(roots, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set"))
     kept = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("best")).select(F.col("best.place").alias("place"))

@@ -45,7 +45,11 @@ def simhash(text: bytes | None, width: int = WORDS) -> int:
     digest = xxhash.xxh64_intdigest
     if len(words) < width:
         return digest(b" ".join(words), SEED)
-    hashes = np.array([digest(s, SEED) for s in map(b" ".join, zip(*[words[i:] for i in range(width)]))], dtype=np.uint64)
+    return majority(np.array([digest(s, SEED) for s in map(b" ".join, zip(*[words[i:] for i in range(width)]))], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned integer."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
@@ -241,16 +245,6 @@ def near_duplicates(fps: DataFrame, *, id_col: str = "doc_id", fp: str = "fp", r
     return fps.join(whole, fps[fp] == whole["_v"]).drop("_v")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row of least id stays, of equal ids one."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    marked = fingerprints(rows, width=width).select("row", "fp", F.monotonically_increasing_id().alias("place"))
-    stored = materialise(marked, "fingerprints")
-    grouped = near_duplicates(stored.select(F.col("row").getField(id_col).alias("doc_id"), "place", "fp"), radius=radius)
-    kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("best")).select(F.col("best.place").alias("place"))
-    return stored.join(kept, "place", "left_semi").select("row.*")
-
-
 def op6_simhash_near_dedup(spark, sf_dir):
     """Contract query: each document's fingerprint and component."""
     fps = materialise(fingerprints(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "fingerprints")

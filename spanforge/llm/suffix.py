@@ -16,6 +16,9 @@ An anchor gram at more than ``crowded`` places is not sorted in one task: its co
 collapsed by their hash and their single strings are dealt out by theirs.
 Copies of a whole text take part once and are known to repeat.
 
+With ``first_stays`` a string's first place (by row, then by position) is not
+removed, so repeated text is kept once.
+
 Defined results: null is the empty text. Texts shorter than the window keep
 everything. Matches never cross texts. Repeated rows repeat each other.
 """
@@ -39,6 +42,10 @@ SHALLOW = 32
 CROWDED = 20_000
 #: Bytes of text that are hashed at once.
 _CHUNK = 1 << 21
+#: Parts that the rows of one key are dealt into where a key may be hot.
+_SALTS = 16
+#: Bits of an anchor's distances to its first and last string, beside its position.
+_BITS = 16
 
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -87,7 +94,9 @@ def anchors(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple
 
 
 def _anchor_rows(keyed: DataFrame, window: int) -> DataFrame:
-    """(h, uid, u, pos, lo, hi) of every text of ``keyed`` (uid, k1, body)."""
+    """(h, uid, k1, span) of every text of ``keyed`` (uid, k1, body); ``span`` is the anchor's position and its distances to the first and last string start."""
+    if window >= 1 << _BITS:
+        raise ValueError(f"a window must be under {1 << _BITS} bytes")
 
     def run(batches):
         held, size = [], 0
@@ -97,8 +106,9 @@ def _anchor_rows(keyed: DataFrame, window: int) -> DataFrame:
             bounds = np.concatenate(([0], np.cumsum([len(t) for _, _, t in held])))
             of, h, pos, lo, hi = anchors(data, bounds, window)
             uid, key = (np.array([x[k] for x in held], dtype=np.int64) for k in (0, 1))
-            cols = [h.view(np.int64), uid[of], key[of], pos, lo, hi]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "uid", "k1", "pos", "lo", "hi"])
+            span = pos << 2 * _BITS | pos - lo << _BITS | hi - lo
+            cols = [h.view(np.int64), uid[of], key[of], span]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "uid", "k1", "span"])
 
         for whole in batches:
             for batch in slices(whole):
@@ -112,7 +122,7 @@ def _anchor_rows(keyed: DataFrame, window: int) -> DataFrame:
         if held:
             yield flush()
 
-    return keyed.select("uid", "k1", "body").mapInArrow(run, "h long, uid long, k1 long, pos long, lo long, hi long")
+    return keyed.select("uid", "k1", "body").mapInArrow(run, "h long, uid long, k1 long, span long")
 
 
 # -- deep-shallow sorting ----------------------------------------------------
@@ -200,13 +210,14 @@ def _blind_trie(strings: list[bytes], group: list[int]) -> list[int]:
     return out
 
 
-def repeated_ranges(contexts: list[tuple[bytes, int]], counts: list[int], window: int = WINDOW) -> list[list[tuple[int, int]]]:
+def repeated_ranges(contexts: list[tuple[bytes, int]], counts: list[int], window: int = WINDOW, first_stays: bool = False) -> list[list[tuple[int, int]]]:
     """For each distinct context (bytes, place of the anchor) the byte ranges covered by strings that repeat.
 
-    A context that occurs more than once repeats as a whole.
+    A context that occurs more than once repeats as a whole. With ``first_stays`` the contexts
+    are in order of their first places, and only strings that an earlier context has count.
     """
     m = len(contexts)
-    out: list[list[tuple[int, int]]] = [[(0, len(c))] if n > 1 else [] for (c, _), n in zip(contexts, counts)]
+    out: list[list[tuple[int, int]]] = [[(0, len(c))] if n > 1 and not first_stays else [] for (c, _), n in zip(contexts, counts)]
     if m < 2:
         return out
     right = [c[at:] for c, at in contexts]
@@ -215,7 +226,7 @@ def repeated_ranges(contexts: list[tuple[bytes, int]], counts: list[int], window
         r, l = common_prefix(*right), common_prefix(*left)
         if r + l >= window:
             for i, (_, at) in enumerate(contexts):
-                if not out[i]:
+                if not out[i] and (i or not first_stays):
                     out[i] = [(at - l, at + r)]
         return out
     sides = []
@@ -245,8 +256,10 @@ def repeated_ranges(contexts: list[tuple[bytes, int]], counts: list[int], window
         ranked = np.take_along_axis(key, order, axis=1)
         equal = ranked[:, 1:] == ranked[:, :-1]
         twice = np.zeros_like(void)
+        # the order is stable, so the first of equal keys is the earliest context
         twice[:, 1:] |= equal
-        twice[:, :-1] |= equal
+        if not first_stays:
+            twice[:, :-1] |= equal
         hit = np.zeros_like(void)
         np.put_along_axis(hit, order, twice, axis=1)
         for row, i in zip(*np.nonzero(hit)):
@@ -303,8 +316,10 @@ def _contexts(texts: DataFrame, window: int) -> DataFrame:
                 for uid, z, found in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                     body = unpack(z)
                     for a in found:
-                        lo, pos = a["lo"], a["pos"]
-                        piece = body[lo : a["hi"] + window]
+                        span = a["span"]
+                        pos = span >> 2 * _BITS
+                        lo = pos - (span >> _BITS & (1 << _BITS) - 1)
+                        piece = body[lo : lo + (span & (1 << _BITS) - 1) + window]
                         e = digest(piece, pos - lo)
                         for col, value in zip(cols, (a["h"], (e >> 64) - (1 << 63), (e & ((1 << 64) - 1)) - (1 << 63), uid, lo, pos - lo, piece)):
                             col.append(value)
@@ -313,26 +328,31 @@ def _contexts(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("uid", "z", "found").mapInArrow(run, "h long, e1 long, e2 long, uid long, lo long, at long, bytes binary")
 
 
-def _sorted_groups(contexts: DataFrame, window: int) -> DataFrame:
+def _sorted_groups(contexts: DataFrame, window: int, first_stays: bool = False) -> DataFrame:
     """Ranges (uid, low, high) of the contexts, one anchor gram at a time; rows come in order of gram and context hash."""
 
     def run(batches):
-        now, members, distinct = None, [], {}
+        now, members = None, []
         out: list[list[int]] = [[], [], []]
 
         def close():
             if len(members) < 2:
                 return
-            listed = list(distinct)
-            counts = [0] * len(listed)
-            for _, _, k in members:
+            members.sort()
+            distinct: dict[tuple[bytes, int], int] = {}
+            of = [distinct.setdefault((piece, at), len(distinct)) for _, _, at, piece in members]
+            counts = [0] * len(distinct)
+            for k in of:
                 counts[k] += 1
-            ranges = repeated_ranges(listed, counts, window)
-            for uid, lo, k in members:
-                for low, high in ranges[k]:
+            ranges = repeated_ranges(list(distinct), counts, window, first_stays)
+            seen: set[int] = set()
+            for (uid, pos, at, piece), k in zip(members, of):
+                again = first_stays and k in seen
+                seen.add(k)
+                for low, high in [(0, len(piece))] if again else ranges[k]:
                     out[0].append(uid)
-                    out[1].append(lo + low)
-                    out[2].append(lo + high)
+                    out[1].append(pos - at + low)
+                    out[2].append(pos - at + high)
 
         def emit():
             batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["uid", "low", "high"])
@@ -344,8 +364,8 @@ def _sorted_groups(contexts: DataFrame, window: int) -> DataFrame:
             for h, uid, lo, at, piece in zip(*[batch.column(k).to_pylist() for k in range(5)]):
                 if h != now:
                     close()
-                    now, members, distinct = h, [], {}
-                members.append((uid, lo, distinct.setdefault((piece, at), len(distinct))))
+                    now, members = h, []
+                members.append((uid, lo + at, at, piece))
             if len(out[0]) > 10_000:
                 yield emit()
         close()
@@ -355,13 +375,21 @@ def _sorted_groups(contexts: DataFrame, window: int) -> DataFrame:
     return ordered.mapInArrow(run, "uid long, low long, high long")
 
 
-def _single_strings(contexts: DataFrame, window: int) -> DataFrame:
+def _salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, one row a key, the rows of each key dealt into ``_SALTS`` parts."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64("uid", "lo"), F.lit(_SALTS)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def _single_strings(contexts: DataFrame, window: int, first_stays: bool = False) -> DataFrame:
     """Ranges of the crowded anchors: equal contexts by their hash, the strings of distinct ones by theirs."""
-    place = F.xxhash64("uid", "lo")
-    same = contexts.groupBy("h", "e1", "e2").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    joined = contexts.join(same, ["h", "e1", "e2"]).withColumn("high", F.col("lo") + F.length("bytes"))
-    whole = joined.where("n > 1").select("uid", F.col("lo").alias("low"), "high")
-    firsts = joined.where(place == F.col("first"))
+    place = F.struct("uid", "lo")
+    same = contexts.groupBy("h", "e1", "e2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    joined = _salted(contexts, same, ["h", "e1", "e2"], "left").withColumn("high", F.col("lo") + F.length("bytes"))
+    again = F.col("n").isNotNull() & ((place != F.col("first")) if first_stays else F.lit(True))
+    whole = joined.where(again).select("uid", F.col("lo").alias("low"), "high")
+    firsts = joined.where(F.col("n").isNull() | (place == F.col("first"))).withColumn("n", F.coalesce("n", F.lit(1)))
 
     def run(batches):
         import xxhash
@@ -375,12 +403,14 @@ def _single_strings(contexts: DataFrame, window: int) -> DataFrame:
                         e = digest(piece[s : s + window])
                         for col, value in zip(cols, ((e >> 64) - (1 << 63), (e & ((1 << 64) - 1)) - (1 << 63), uid, lo + s, n)):
                             col.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["w1", "w2", "uid", "s", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["w1", "w2", "uid", "lo", "n"])
 
-    strings = firsts.select("uid", "lo", "n", "bytes").mapInArrow(run, "w1 long, w2 long, uid long, s long, n long")
-    twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    hit = strings.where("n = 1").join(twice, ["w1", "w2"], "left_semi")
-    return whole.unionByName(hit.select("uid", F.col("s").alias("low"), (F.col("s") + window).alias("high")))
+    strings = firsts.select("uid", "lo", "n", "bytes").mapInArrow(run, "w1 long, w2 long, uid long, lo long, n long")
+    twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(place).alias("earliest")).where("c > 1").drop("c")
+    hit = _salted(strings if first_stays else strings.where("n = 1"), twice, ["w1", "w2"])
+    if first_stays:
+        hit = hit.where(place != F.col("earliest"))
+    return whole.unionByName(hit.select("uid", F.col("lo").alias("low"), (F.col("lo") + window).alias("high")))
 
 
 def keyed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -390,8 +420,8 @@ def keyed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select("row", F.monotonically_increasing_id().alias("uid"), F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), F.col("body")).alias("k2"), "body")
 
 
-def repeated_spans(keyed: DataFrame, *, window: int = WINDOW, crowded: int = CROWDED) -> DataFrame:
-    """(uid, k1, whole, spans) of the texts with something to remove; ``whole`` if the text itself repeats.
+def repeated_spans(keyed: DataFrame, *, window: int = WINDOW, crowded: int = CROWDED, first_stays: bool = False) -> DataFrame:
+    """(uid, k1, whole, spans) of the texts with something to remove; ``whole`` if the text itself repeats (with ``first_stays``: an earlier one).
 
     ``keyed`` comes from ``keyed_texts`` over a stored table: it is read several
     times and its rows must keep their places, which ``k1`` proves when the
@@ -399,23 +429,24 @@ def repeated_spans(keyed: DataFrame, *, window: int = WINDOW, crowded: int = CRO
     """
     keys = keyed.select("uid", "k1", "k2", F.length("body").cast("long").alias("n")).where(F.col("n") >= window)
     copies = keys.groupBy("k1", "k2").agg(F.min("uid").alias("first"), F.count("*").alias("c"))
-    texts = keys.join(copies, ["k1", "k2"]).select("uid", "k1", (F.col("uid") == F.col("first")).alias("leads"), (F.col("c") > 1).alias("whole"))
+    leads = F.col("uid") == F.col("first")
+    texts = keys.join(copies, ["k1", "k2"]).select("uid", "k1", leads.alias("leads"), (~leads if first_stays else F.col("c") > 1).alias("whole"))
     texts = materialise(texts, "texts")
     found = materialise(_anchor_rows(keyed, window), "anchors")
-    place = F.xxhash64("k1", "pos")
+    place = F.xxhash64("k1", F.shiftright("span", 2 * _BITS))
     # stored, so that both sides of the join are plain exchanges and a hot gram's rows can be split
     shared = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("h", (F.col("n") > crowded).alias("crowded"))
     shared = materialise(shared, "shared")
-    listed = found.join(shared, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "pos", "lo", "hi", "crowded")).alias("found"))
+    listed = found.join(shared, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "span", "crowded")).alias("found"))
     leading = materialise(listed.join(texts.where("leads").select("uid"), "uid", "left_semi"), "listed")
 
     def contexts(which) -> DataFrame:
         chosen = leading.withColumn("found", F.filter("found", which)).where(F.size("found") > 0)
         return _contexts(_squeezed(keyed).join(chosen, "uid"), window)
 
-    ranges = _sorted_groups(contexts(lambda a: ~a["crowded"]), window)
+    ranges = _sorted_groups(contexts(lambda a: ~a["crowded"]), window, first_stays)
     if not leading.where(F.exists("found", lambda a: a["crowded"])).isEmpty():
-        ranges = ranges.unionByName(_single_strings(materialise(contexts(lambda a: a["crowded"]), "contexts"), window))
+        ranges = ranges.unionByName(_single_strings(materialise(contexts(lambda a: a["crowded"]), "contexts"), window, first_stays))
     spans = ranges.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return texts.where("leads or whole").join(spans, "uid", "left").where("whole or spans is not null").select("uid", "k1", "whole", "spans")
 
@@ -438,35 +469,56 @@ def cut_spans(body: bytes, whole: bool | None, spans: list | None) -> tuple[byte
     return b"".join([*kept, body[at:]]), runs
 
 
-def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW, first_stays: bool = False) -> DataFrame:
     """All rows and columns of a stored table, each text without its repeated bytes; a character that is cut goes whole.
 
-    A column ``n_chars`` is set to the new length.
+    A column ``n_chars`` is set to the new length. A null text stays null.
     """
     keyed = keyed_texts(docs, text_col)
-    joined = _joined(keyed.select("row", "uid", "k1"), repeated_spans(keyed, window=window))
-    names, at = docs.columns, docs.columns.index(text_col)
+    names = docs.columns
+    rest = [c for c in names if c != text_col]
+    fields = [F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(rest)]
+    void = F.col("row").getField(text_col).isNull()
+    rows = _squeezed_rows(keyed.select(F.struct(*fields, void.alias("void")).alias("row"), "uid", "k1", "body"))
+    joined = _joined(rows, repeated_spans(keyed, window=window, first_stays=first_stays))
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for whole_ in batches:
             for batch in slices(whole_):
-                texts = batch.column(at).to_pylist()
-                found = zip(*[batch.column(len(names) + k).to_pylist() for k in range(2)])
-                out = [t if t is None or not (w or s) else cut_spans(t.encode("utf-8"), w, s)[0].decode("utf-8", "ignore") for t, (w, s) in zip(texts, found)]
-                cols = [batch.column(k) for k in range(len(names))]
-                cols[at] = pa.array(out, pa.string())
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    fields = [F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)]
-    cut = joined.select(*fields, "whole", "spans").mapInArrow(run, docs.schema)
+                out = []
+                for void, z, whole, spans in zip(*[batch.column(len(rest) + k).to_pylist() for k in range(4)]):
+                    out.append(None if void else cut_spans(unpack(z), whole, spans)[0].decode("utf-8", "ignore"))
+                cols = {c: batch.column(k) for k, c in enumerate(rest)} | {text_col: pa.array(out, pa.string())}
+                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+
+    flat = [F.col("row").getField(f"c{i}").alias(f"c{i}") for i in range(len(rest))]
+    cut = joined.select(*flat, F.col("row.void").alias("void"), "z", "whole", "spans").mapInArrow(run, docs.schema)
     return cut.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut
 
 
+def _squeezed_rows(keyed: DataFrame) -> DataFrame:
+    """(row, uid, k1, z) of ``keyed`` (row, uid, k1, body): what is joined by place moves with a compressed text."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for whole in batches:
+            for batch in slices(whole):
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(map(pack, batch.column(3).to_pylist()), pa.binary())], names=["row", "uid", "k1", "z"])
+
+    schema = T.StructType([keyed.schema["row"], T.StructField("uid", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("z", T.BinaryType())])
+    return keyed.select("row", "uid", "k1", "body").mapInArrow(run, schema)
+
+
 def op2_suffix_array_dedup(spark, sf_dir):
     """Contract query: bytes removed from each document and the digest of what is left."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    keyed = keyed_texts(docs).select(F.col("row.doc_id").alias("doc_id"), "uid", "k1", "k2", "body")
-    joined = _squeezed_join(keyed, repeated_spans(keyed))
+    keyed = keyed_texts(docs).select(F.col("row.doc_id").alias("row"), "uid", "k1", "k2", "body")
+    joined = _joined(_squeezed_rows(keyed), repeated_spans(keyed))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches):
@@ -484,20 +536,4 @@ def op2_suffix_array_dedup(spark, sf_dir):
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=names)
 
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names[1:4]], T.StructField(names[4], T.StringType())])
-    return joined.mapInArrow(run, schema)
-
-
-def _squeezed_join(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, z, whole, spans) of every row."""
-
-    def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for whole in batches:
-            for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(map(pack, batch.column(3).to_pylist()), pa.binary())], names=["doc_id", "uid", "k1", "z"])
-
-    schema = T.StructType([keyed.schema["doc_id"], T.StructField("uid", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("z", T.BinaryType())])
-    rows = keyed.select("doc_id", "uid", "k1", "body").mapInArrow(run, schema)
-    return _joined(rows, spans).select("doc_id", "z", "whole", "spans")
+    return joined.select("row", "z", "whole", "spans").mapInArrow(run, schema)

@@ -133,6 +133,31 @@ def paired(a: DataFrame, b: DataFrame, metric: str, key: str = "query_id") -> Da
     return a.select(key, F.col(metric).alias("x")).join(b.select(key, F.col(metric).alias("y")), key).withColumn("delta", F.col("y") - F.col("x"))
 
 
+def unpaired(a: DataFrame, b: DataFrame, key: str = "query_id") -> DataFrame:
+    """(n_both, n_a_only, n_b_only): queries of two runs, each counted once."""
+    x, y = a.select(key).distinct().withColumn("_a", F.lit(True)), b.select(key).distinct().withColumn("_b", F.lit(True))
+    return x.join(y, key, "full").agg(F.count_if(F.col("_a") & F.col("_b")).alias("n_both"), F.count_if(F.col("_b").isNull()).alias("n_a_only"), F.count_if(F.col("_a").isNull()).alias("n_b_only"))
+
+
+def grade_summary(pool: DataFrame) -> DataFrame:
+    """(stat, value) of graded candidates (query_id, grade, gold): rows of each grade, mean positives a query, and the share of queries that gained a positive beside gold."""
+    counts = pool.groupBy("grade").agg(F.count("*").cast("double").alias("value")).select(F.concat(F.lit("grade "), F.col("grade").cast("string")).alias("stat"), "value")
+    by = pool.groupBy("query_id").agg(F.count_if(F.col("grade") >= 1).alias("n"), F.count_if((F.col("grade") >= 1) & ~F.col("gold")).alias("more"))
+    rest = by.agg(F.round(F.avg("n"), 6).alias("m"), F.round(100.0 * F.count_if(F.col("more") > 0) / F.greatest(F.count("*"), F.lit(1)), 6).alias("g"))
+    stats = F.explode(F.array(F.struct(F.lit("mean positives").alias("stat"), F.col("m").alias("value")), F.struct(F.lit("gained %").alias("stat"), F.col("g").alias("value"))))
+    return counts.unionByName(rest.select(stats.alias("s")).select("s.stat", "s.value"))
+
+
+def rank_moves(ranks: DataFrame, near: int = 15, far: int = 25) -> DataFrame:
+    """Tallies of (before, after) ranks: first ranks up to ``near`` and beyond ``far``, and how many a reranking helped or hurt."""
+    return ranks.agg(F.count("*").alias("n"), F.count_if(F.col("before") <= near).alias("near"), F.count_if(F.col("before") > far).alias("far"), F.count_if(F.col("after") < F.col("before")).alias("helped"), F.count_if(F.col("after") > F.col("before")).alias("hurt"))
+
+
+def score_at(hits: DataFrame, rank: int = K) -> DataFrame:
+    """(query_id, score) at a rank; the last hit's where a query has fewer."""
+    return hits.where(F.col("rank") <= rank).groupBy("query_id").agg(F.max_by("score", "rank").alias("score"))
+
+
 def paired_summary(pairs: DataFrame) -> DataFrame:
     n = F.count("*")
     return pairs.agg(n.alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(sample_stddev("delta"), 6).alias("sd_delta"), F.round(pearson("x", "y"), 6).alias("rho"), F.round(2.802 * sample_stddev("delta") / F.sqrt(n), 6).alias("mde"))

@@ -21,9 +21,17 @@ def promote_headings(lines: DataFrame, titles: DataFrame, ahead: int = 3, level:
     return lines.join(best, ["slug", "ln"], "left").select("slug", "ln", head.alias("line"))
 
 
-def late_pool(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """(parent_id, child_id, i, x): mean of a parent's token vectors (parent_id, low, high, vector) whose offsets overlap the child's span (parent_id, child_id, start, stop)."""
-    pairs = tokens.join(spans, "parent_id").where((F.col("high") > F.col("start")) & (F.col("low") < F.col("stop")))
+def late_pool(tokens: DataFrame, spans: DataFrame, width: int = 512) -> DataFrame:
+    """(parent_id, child_id, i, x): mean of a parent's token vectors (parent_id, low, high, vector) whose offsets overlap the child's span (parent_id, child_id, start, stop).
+
+    Both are filed by stretches of ``width`` offsets; a pair is taken in the first stretch that both reach.
+    """
+
+    def filed(rows: DataFrame, low: str, high: str) -> DataFrame:
+        return rows.withColumn("_at", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.greatest(F.col(high) - 1, F.col(low)) / width))))
+
+    pairs = filed(tokens, "low", "high").join(filed(spans, "start", "stop"), ["parent_id", "_at"]).where((F.col("high") > F.col("start")) & (F.col("low") < F.col("stop")))
+    pairs = pairs.where(F.col("_at") == F.floor(F.greatest("low", "start") / width))
     parts = pairs.select("parent_id", "child_id", F.posexplode("vector").alias("i", "x"))
     return parts.groupBy("parent_id", "child_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
 

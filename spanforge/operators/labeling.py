@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanforge.session import stored
+
 
 def hash_order(key: Column, seed: str = "42") -> Column:
     """A repeatable shuffle order that any engine can compute."""
@@ -23,14 +25,61 @@ def allocate(counts: DataFrame, total: int, least: int = 2) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, plan: DataFrame, stratum: str, key: str, seed: str = "42") -> DataFrame:
-    """The first ``n`` rows of each stratum of ``plan`` (stratum, n) in hash order."""
+    """The first ``n`` rows of each stratum of ``plan`` (stratum, n) in hash order; a task passes on no more rows of a stratum than the largest ``n``."""
+    most = plan.agg(F.max("n")).collect()[0][0] or 0
     order = Window.partitionBy(stratum).orderBy(hash_order(F.col(key), seed), key)
-    return rows.withColumn("_r", F.row_number().over(order)).join(plan.select(stratum, "n"), stratum).where("_r <= n").drop("_r", "n")
+    first = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    return first.join(plan.select(stratum, "n"), stratum).where("_r <= n").drop("_r", "n")
+
+
+def per_grade(rows: DataFrame, total: int, grades: int = 3, *, grade: str = "grade", key: str = "id", text: str = "text", gold: str = "gold", seed: str = "42") -> DataFrame:
+    """An equal part of ``total`` rows of each grade in hash order, without gold rows and empty texts."""
+    usable = rows.where(~F.coalesce(F.col(gold), F.lit(False)) & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
+    order = Window.partitionBy(grade).orderBy(hash_order(F.col(key), seed), key)
+    return usable.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= total // grades).drop("_r")
+
+
+def route_eligible(chunks: DataFrame, *, heading: str = "heading_path", kind: str = "chunk_type") -> DataFrame:
+    """Chunks with a heading and the ``pool`` (code or prose) that questions for them come from."""
+    headed = chunks.where(F.trim(F.coalesce(F.col(heading), F.lit(""))) != "")
+    return headed.withColumn("pool", F.when(F.col(kind) == "code", "code").otherwise("prose"))
+
+
+def sliced_then_capped(rows: DataFrame, caps: dict[str, int], factor: int, keep: Column, key: str, seed: str = "42") -> DataFrame:
+    """Disjoint slices of ``factor`` x cap rows a kind in hash order; of each the first rows that pass ``keep``, to the cap, with their ``part``.
+
+    ``keep`` is judged after the slices are dealt, as an answer to a row is known only then.
+    """
+    most = factor * sum(caps.values())
+    order = Window.orderBy(hash_order(F.col(key), seed), key)
+    # the first rows alone are numbered: a task passes on no more than ``most``
+    first = rows.orderBy(hash_order(F.col(key), seed), key).limit(most).withColumn("_r", F.row_number().over(order))
+    part, start = F.lit(None).cast("string"), 0
+    for name, cap in caps.items():
+        part = F.when((F.col("_r") > start) & (F.col("_r") <= start + factor * cap), F.lit(name)).otherwise(part)
+        start += factor * cap
+    limits = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
+    passed = first.withColumn("part", part).where(keep).withColumn("_n", F.row_number().over(Window.partitionBy("part").orderBy("_r")))
+    return passed.where(F.col("_n") <= F.element_at(limits, F.col("part"))).drop("_r", "_n")
+
+
+def filled_pool(chosen: DataFrame, chunks: DataFrame, total: int, *, stratum: str = "book", seed: str = "42") -> DataFrame:
+    """``chosen`` (id, parent_id, ...) and, up to ``total`` rows, further chunks by their strata's shares, one for each parent that has none yet."""
+    one = chunks.groupBy("parent_id").agg(F.min_by(F.struct("id", stratum), hash_order(F.col("id"), seed)).alias("c")).select("parent_id", "c.id", f"c.{stratum}")
+    rest = one.join(chosen.select("parent_id"), "parent_id", "left_anti")
+    need = max(0, total - chosen.count())
+    plan = allocate(rest.groupBy(stratum).agg(F.count("*").alias("count")), need, 0)
+    more = stratified_sample(rest, plan, stratum, "id", seed)
+    return chosen.select("id", "parent_id", stratum).withColumn("filled", F.lit(False)).unionByName(more.select("id", "parent_id", stratum).withColumn("filled", F.lit(True)))
 
 
 def round_robin(rows: DataFrame, batches: int, order: str) -> DataFrame:
-    """Every row's ``batch``: rows are numbered within blocks of a range partition, then across blocks."""
+    """Every row's ``batch``: rows are numbered within blocks of a range partition, then across blocks.
+
+    The numbered rows are stored, as both uses must see the same blocks.
+    """
     ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = stored(ranged)
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
     starts = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_s")
     return ranged.join(starts, "_p").withColumn("batch", ((F.col("_s") + F.col("_i")) % batches).cast("int")).drop("_p", "_i", "_s")
@@ -53,8 +102,15 @@ def todo(every: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def siblings(positives: DataFrame, chunks: DataFrame, limit: int = 6, seed: str = "42") -> DataFrame:
-    """Up to ``limit`` other chunks of each positive's book, those of its chapter first, one for each parent."""
-    a, b = positives.alias("a"), chunks.alias("b")
+    """Up to ``limit`` other chunks of each positive's book, those of its chapter first, one for each parent.
+
+    A parent lies in one chapter. No positive needs more than the first ``limit`` + 1 parents of a
+    chapter, so only those are joined with it.
+    """
+    one = chunks.groupBy("book", "chapter", "parent_id").agg(F.min_by("id", hash_order(F.col("id"), seed)).alias("id"))
+    first = Window.partitionBy("book", "chapter").orderBy(hash_order(F.col("id"), seed))
+    few = one.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + 1).drop("_n")
+    a, b = positives.alias("a"), few.alias("b")
     near = a.join(b, F.col("a.book") == F.col("b.book")).where("a.parent_id <> b.parent_id")
     tier = F.when(F.col("a.chapter") == F.col("b.chapter"), 0).otherwise(1)
     rows = near.select(F.col("a.id").alias("query_id"), F.col("b.id").alias("id"), F.col("b.parent_id").alias("parent_id"), tier.alias("tier"), hash_order(F.col("b.id"), seed).alias("h"))

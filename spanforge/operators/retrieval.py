@@ -27,10 +27,13 @@ def ranked(scores: DataFrame, k: int, by: list[str], score: str = "score", item:
 # -- sparse leg --------------------------------------------------------------
 
 
-def postings(docs: DataFrame, config: EngineConfig = EngineConfig(), *, item: str = "id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """(id, term, tf, len, weight): saturated term frequencies against a fixed average length."""
+def postings(docs: DataFrame, config: EngineConfig = EngineConfig(), *, item: str = "id", text: str = "text", keep: list[str] = (), only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, len, weight): saturated term frequencies against a fixed average length; ``only`` of the terms of a table (term), sifted before anything is grouped."""
     rows = docs.select(F.col(item).alias("id"), *keep, X.terms(F.col(text)).alias("terms")).withColumn("len", F.size("terms"))
-    counts = rows.select("id", *keep, "len", F.explode("terms").alias("term")).groupBy("id", *keep, "len", "term").agg(F.count("*").alias("tf"))
+    words = rows.select("id", *keep, "len", F.explode("terms").alias("term"))
+    if only is not None:
+        words = words.join(only.select("term"), "term", "left_semi")
+    counts = words.groupBy("id", *keep, "len", "term").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (config.bm25_k + 1) / (F.col("tf") + config.bm25_k * (1 - config.bm25_b + config.bm25_b * F.col("len") / config.bm25_avg_len))
     return counts.withColumn("weight", weight)
 
@@ -181,6 +184,12 @@ def rerank_text(rows: DataFrame, override: str | None = None) -> Column:
     return X.join_present("\n", F.when(use, F.col("heading_path")), F.col("context_text"), F.col("text"))
 
 
+def lexical_score(query: Column, text: Column) -> Column:
+    """Ten times the share of the query's distinct terms that a text holds: the rerank stand-in as a column."""
+    asked = F.array_distinct(X.terms(query))
+    return F.round(10.0 * F.size(F.array_intersect(asked, X.terms(text))) / F.greatest(F.size(asked), F.lit(1)), 6)
+
+
 def embed_text() -> Column:
     return X.join_present("\n\n", F.col("heading_path"), F.col("context_text"), F.col("text"))
 

@@ -116,7 +116,7 @@ def wilcoxon_ranks(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    return E.bootstrap_ci(_pairs(spark, sf_dir), resamples=2000)
+    return E.bootstrap_ci(_pairs(spark, sf_dir))
 
 
 def mde_table(spark, sf_dir):

@@ -11,8 +11,10 @@ from spanforge.session import read_table
 def promote_headings(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     lines = docs.select(F.col("doc_id").alias("slug"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    titles = docs.select(F.col("doc_id").alias("slug"), F.trim(F.element_at(F.split("text", "\n"), 1)).alias("title")).where("title <> ''")
-    return P.promote_headings(lines, titles, ahead=1)
+    # titles of one to three lines
+    first = F.transform(F.slice(F.split("text", "\n"), F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), lambda x: F.trim(x))
+    titles = docs.select(F.col("doc_id").alias("slug"), F.array_join(first, " ").alias("title")).where("title <> ''")
+    return P.promote_headings(lines, titles)
 
 
 def late_pool(spark, sf_dir):
@@ -32,7 +34,7 @@ def frozen_background(spark, sf_dir):
 def render_prompt(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     heading = F.when(F.col("doc_id") % 2 == 0, F.lit("12")).otherwise(F.col("lang"))
-    return docs.select("doc_id", P.prompt("Book %s%s: %s", {"text": 50}, source=F.col("source"), where=P.location(heading), text=F.col("text")).alias("prompt"))
+    return docs.select("doc_id", P.prompt("Book %s%s: %s", {"text": 500}, source=F.col("source"), where=P.location(heading), text=F.col("text")).alias("prompt"))
 
 
 def train_dev_split(spark, sf_dir):
@@ -61,13 +63,17 @@ QUERIES = {f.__name__: f for f in (promote_headings, late_pool, frozen_backgroun
 
 ORACLE = {
     "promote_headings": """WITH d AS (SELECT * FROM documents), l AS (SELECT doc_id AS slug, unnest(generate_series(0, len(string_split(text, chr(10))) - 1))::INT AS ln, unnest(string_split(text, chr(10))) AS line FROM d),
-t AS (SELECT doc_id AS slug, trim(string_split(text, chr(10))[1]) AS title FROM d), m AS (SELECT *, count(*) OVER (PARTITION BY slug, trim(line)) AS n FROM l)
-SELECT m.slug, ln, CASE WHEN title IS NOT NULL AND n = 1 THEN '## ' || title ELSE line END AS line FROM m LEFT JOIN t ON t.slug = m.slug AND t.title = trim(line) AND t.title <> ''""",
+t AS (SELECT doc_id AS slug, array_to_string(list_transform(string_split(text, chr(10))[1 : (doc_id % 3 + 1)::INT], lambda x: trim(x)), ' ') AS title FROM d),
+o AS (SELECT slug, ln, trim(line) AS a, trim(lead(line, 1) OVER w) AS b, trim(lead(line, 2) OVER w) AS c FROM l WINDOW w AS (PARTITION BY slug ORDER BY ln)),
+j AS (SELECT slug, ln, 0 AS more, a AS title FROM o WHERE a <> '' UNION ALL SELECT slug, ln, 1, concat_ws(' ', a, b) FROM o WHERE a <> '' UNION ALL SELECT slug, ln, 2, concat_ws(' ', a, b, c) FROM o WHERE a <> ''),
+m AS (SELECT j.*, count(*) OVER (PARTITION BY slug, title) AS n FROM j JOIN t USING (slug, title) WHERE title <> ''),
+best AS (SELECT slug, ln, arg_min(title, more) AS title FROM m WHERE n = 1 GROUP BY slug, ln)
+SELECT l.slug, l.ln, CASE WHEN best.title IS NOT NULL THEN '## ' || best.title ELSE line END AS line FROM l LEFT JOIN best USING (slug, ln)""",
     "late_pool": """WITH s AS (SELECT label AS parent_id, vec_id AS child_id, vec_id * 4 - 30 AS a, vec_id * 4 + 90 AS b FROM embeddings),
 p AS (SELECT parent_id, child_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings JOIN s ON label = parent_id AND vec_id * 4 + 4 > a AND vec_id * 4 < b)
 SELECT parent_id, child_id, i::INT AS i, round(avg(x), 6) AS x FROM p GROUP BY parent_id, child_id, i""",
     "frozen_background": "SELECT doc_id AS query_id, 'b' || item_id AS id FROM documents, benchmark WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id, 'd' || doc_id FROM documents WHERE doc_id % 20 = 0",
-    "render_prompt": "SELECT doc_id, 'Book ' || source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' in ' || lang END || ': ' || substr(text, 1, 50) AS prompt FROM documents",
+    "render_prompt": "SELECT doc_id, 'Book ' || source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' in ' || lang END || ': ' || substr(text, 1, 500) AS prompt FROM documents",
     "train_dev_split": """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42' || doc_id), doc_id) AS r FROM documents)
 SELECT doc_id, lang, CASE WHEN r <= 10 THEN 'train' ELSE 'dev' END AS part FROM r WHERE r <= 15""",
     "array_key_join": """WITH r AS (SELECT conv_id % 10 AS a, turn AS b, max(conv_id) AS easy_id FROM conversations WHERE role = 'assistant' GROUP BY 1, 2)

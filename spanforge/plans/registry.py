@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from spanforge.plans import evaluation_queries, experiment_queries, markdown_queries, retrieval_queries
+from spanforge.plans import evaluation_queries, experiment_queries, judging_queries, markdown_queries, retrieval_queries
 
-_MODULES = [markdown_queries, retrieval_queries, evaluation_queries, experiment_queries]
+_MODULES = [markdown_queries, retrieval_queries, evaluation_queries, experiment_queries, judging_queries]
 
 
 def flagship(spark, sf_dir):
-    return retrieval_queries.bm25_topk(spark, sf_dir)
+    return retrieval_queries.hybrid_search(spark, sf_dir)
 
 
 def queries():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as X
 from spanforge.operators import retrieval as R
-from spanforge.session import read_table
+from spanforge.session import read_table, stored
 
 
 def _docs(spark, sf_dir):
@@ -31,10 +31,12 @@ def bm25_term_idf(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir, k, book=None):
-    docs = _docs(spark, sf_dir)
-    posts = R.postings(docs, keep=["book"])
+    docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
+    terms = queries.select(F.explode(X.terms(F.col("text"))).alias("term")).distinct()
+    # read twice, for the document frequencies and for the scores
+    posts = stored(R.postings(docs, keep=["book"], only=terms))
     idf = R.term_idf(posts, docs.agg(F.count("*").alias("n")))
-    return R.sparse_leg(_queries(spark, sf_dir), posts if book is None else posts.where(F.col("book") == book), idf, k=k)
+    return R.sparse_leg(queries, posts if book is None else posts.where(F.col("book") == book), idf, k=k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -102,6 +104,22 @@ def hybrid_search_e2e(spark, sf_dir):
     return R.dedup_parents(hits).select("query_id", "id", "parent_id", "score", "rank")
 
 
+def hybrid_search(spark, sf_dir):
+    """The whole search for each passage: a sparse leg over the texts and a dense leg over the vectors of the same ids (the query's
+    vector is that of its own id), fusion, reranking of heading and text, cutoff, one hit for each source."""
+    docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
+    points = _points(spark, sf_dir)
+    vectors = queries.join(points.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id").select("query_id", "vector")
+    dense = R.dense_leg(vectors, points, 50, item="vec_id").select("query_id", "id", "score").withColumn("leg", F.lit(0))
+    sparse = _sparse(spark, sf_dir, 50).select("query_id", "id", "score").withColumn("leg", F.lit(1))
+    fused = R.dbsf(dense.unionByName(sparse), 50)
+    texts = docs.select("id", F.col("book").alias("parent_id"), F.col("book").alias("heading_path"), F.lit(None).cast("string").alias("context_text"), "text")
+    asked = queries.select("query_id", F.col("text").alias("query"))
+    found = fused.join(texts, "id").join(asked, "query_id")
+    reranked = found.withColumn("score", R.lexical_score(F.col("query"), R.rerank_text(found, "heading"))).select("query_id", "id", "parent_id", "score")
+    return R.dedup_parents(R.adaptive_cutoff(reranked, 4.0, 10)).select("query_id", "id", "parent_id", "score", "rank")
+
+
 def dedup_parents(spark, sf_dir):
     hits = dense_topk(spark, sf_dir).join(_points(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").alias("parent_id")), "id")
     return R.dedup_parents(hits).select("query_id", "id", "parent_id", "score", "rank")
@@ -160,7 +178,7 @@ def rerank_text(spark, sf_dir):
     return rows.select("doc_id", R.rerank_text(rows).alias("by_manifest"), R.rerank_text(rows, "heading").alias("by_heading"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_postings, bm25_term_idf, bm25_topk, bm25_topk_filtered, dense_topk, dense_topk_filtered, l2_normalize, mean_pool, hybrid_dbsf, hybrid_multi_leg, rrf_fusion, adaptive_cutoff, hybrid_search_e2e, dedup_parents, plan_legs, pool_union, grep_lines, read_chunk_neighbors, point_ids, embed_text, rerank_text)}
+QUERIES = {f.__name__: f for f in (bm25_postings, bm25_term_idf, bm25_topk, bm25_topk_filtered, dense_topk, dense_topk_filtered, l2_normalize, mean_pool, hybrid_dbsf, hybrid_multi_leg, rrf_fusion, adaptive_cutoff, hybrid_search_e2e, hybrid_search, dedup_parents, plan_legs, pool_union, grep_lines, read_chunk_neighbors, point_ids, embed_text, rerank_text)}
 
 _POST = """w AS (SELECT doc_id AS id, source AS book, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS t FROM documents), e AS (SELECT id, book, len(t) AS len, unnest(t) AS term FROM w),
 post AS (SELECT id, book, term, count(*) AS tf, count(*) * 2.2 / (count(*) + 1.2 * (1 - 0.75 + 0.75 * len / 256.0)) AS weight FROM e GROUP BY id, book, len, term),
@@ -173,8 +191,12 @@ def _rank(src: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({src})) WHERE rank <= {k}"
 
 
+def _bm25_legs(where: str, k: int) -> str:
+    return _rank(f"SELECT query_id, id, round(sum(q.w * post.weight * idf.idf), 6) AS score FROM q JOIN idf USING (term) JOIN post USING (term) {where} GROUP BY query_id, id", k)
+
+
 def _bm25(where: str) -> str:
-    return f"WITH {_POST}, {_QUERY} " + _rank(f"SELECT query_id, id, round(sum(q.w * post.weight * idf.idf), 6) AS score FROM q JOIN idf USING (term) JOIN post USING (term) {where} GROUP BY query_id, id", 10)
+    return f"WITH {_POST}, {_QUERY} " + _bm25_legs(where, 10)
 
 
 def _dense(shift: int, k: int, where: str = "") -> str:
@@ -208,6 +230,15 @@ ORACLE = {
     "rrf_fusion": f"WITH {_LEGS} " + _rank("SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM legs GROUP BY query_id, id", 20),
     "adaptive_cutoff": f"WITH {_CUT} SELECT * FROM cut",
     "hybrid_search_e2e": f"WITH {_CUT} {_dedup('cut')}",
+    "hybrid_search": f"""WITH {_POST}, {_QUERY},
+dense AS ({_rank("SELECT b.item_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings p", 50)}),
+sparse AS ({_bm25_legs("", 50)}), legs AS (SELECT query_id, id, score, 0 AS leg FROM dense UNION ALL SELECT query_id, id, score, 1 FROM sparse), {_DBSF}, top AS ({_rank("SELECT * FROM f", 50)}),
+tt AS (SELECT top.query_id, top.id, source AS parent_id, list_distinct(regexp_extract_all(lower(b.text), '([a-z0-9]+)', 1)) AS a, regexp_extract_all(lower(concat_ws(chr(10), d.source, nullif(d.text, ''))), '([a-z0-9]+)', 1) AS t
+FROM top JOIN documents d ON d.doc_id = top.id JOIN benchmark b ON b.item_id = top.query_id),
+r AS (SELECT query_id, id, parent_id, round(10.0 * len(list_intersect(a, t)) / greatest(len(a), 1), 6) AS score FROM tt),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, least(10, sum(CASE WHEN score >= 4.0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id)) AS kept FROM r),
+k AS (SELECT * FROM c WHERE rank <= CASE WHEN kept < 3 THEN 3 ELSE kept END)
+SELECT query_id, id, parent_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM k) WHERE n = 1""",
     "dedup_parents": f"WITH d AS ({_dense(0, 50)}) {_dedup('d')}",
     "plan_legs": """WITH q AS (SELECT item_id AS query_id, text, CASE WHEN item_id % 2 = 0 THEN 'passage ' || text END AS hyde, CASE WHEN item_id % 3 = 0 THEN ['one', 'two'] ELSE []::VARCHAR[] END AS ex, CASE WHEN item_id % 5 = 0 THEN 'a b' ELSE text END AS kw FROM benchmark),
 l AS (SELECT query_id, list_concat(list_transform(list_filter(list_concat([text, hyde], ex), lambda t: t IS NOT NULL), lambda t: {'kind': 'dense', 'text': t}), list_transform(list_concat([kw], ex), lambda t: {'kind': 'sparse', 'text': t})) AS p FROM q),

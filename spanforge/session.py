@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str = "local[8]", app: str = "spanforge", **conf: str) -> SparkSession:
@@ -25,3 +27,11 @@ def get_session(master: str = "local[8]", app: str = "spanforge", **conf: str) -
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One parquet table of a data directory, by a path that only Spark needs to understand."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as an eager checkpoint in the folder of ``spark.checkpoint.dir``; only where that is unset, in a temporary one of this machine."""
+    spark = df.sparkSession
+    if not spark._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanforge-"))
+    return df.checkpoint(eager=True)

@@ -58,6 +58,9 @@ def read_golden(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(slug, title, domain, rerank_input); a manifest that is missing or broken is empty, a title not given is made from the slug, an unknown flag is ``child``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "slug string, title string, domain string, rerank_input string")
     text = spark.read.text(path, wholetext=True)
     books = text.select(F.from_json("value", MANIFEST).alias("m")).select(F.explode("m.books").alias("slug", "b"))
     flag = F.when(F.col("b.rerank_input") == "heading", "heading").otherwise("child")

@@ -15,9 +15,10 @@ def stored(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str, key: str, partition: str | None = None) -> None:
-    """Append the rows whose key is not stored yet."""
+    """Append the rows whose key is not stored yet; of rows with equal keys one. Rows with a null key are appended each."""
     old = stored(rows.sparkSession, path, rows.schema)
-    new = rows.join(old.select(key), key, "left_anti").select(*rows.columns)
+    keyed = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    new = keyed.join(old.select(key), key, "left_anti").select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
     writer = new.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
@@ -37,6 +38,25 @@ def merge_manifest(new: DataFrame, old: DataFrame) -> DataFrame:
     return old.unionByName(new.join(old.select("slug"), "slug", "left_anti")).orderBy("slug")
 
 
+def write_report(report: DataFrame, path: str, label: str) -> None:
+    """A run's report as JSON lines under ``path``/run=``label``; a later report of the same run takes its place."""
+    report.withColumn("run", F.lit(label)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Audit rows as further JSON lines; nothing there before is touched."""
+    rows.write.mode("append").json(path)
+
+
+def totals(**tables: DataFrame) -> DataFrame:
+    """(name, n) of tables."""
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def concat_sheets(sheets: DataFrame) -> DataFrame:
     """(slug, markdown) of books given as sheets (slug, path, title, markdown): titles as headings of level 2, bodies two levels lower, fences closed."""
     from spanforge.operators import markdown as M

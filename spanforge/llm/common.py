@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,13 +13,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch that are turned into Python objects at a time.
-SLICE_ROWS = 512
+SLICE_ROWS = 256
+#: Rows of an Arrow batch between Spark and a Python worker; Spark's default of 10,000 whole texts takes hundreds of megabytes on both sides.
+BATCH_ROWS = 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table ``documents``; a session that has Spark's default size of Arrow batches gets a smaller one."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over the batches of a task; at its end the worker, which is used again, gives free memory back."""
+
+    def inner(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:
+            # not glibc
+            pass
+
+    return inner
+
+
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A fresh path under the folder that all executors share.
 
@@ -33,14 +58,36 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     return f"{base}/{kind}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, kind: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to a fresh shared folder and read it again: lineage is cut, each task can be retried."""
+#: Paths written inside the open ``scratch`` blocks.
+_scratch: list[list[str]] = []
+
+
+def materialise(df: DataFrame, kind: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """Write ``df`` to a fresh shared folder and read it again: lineage is cut, each task can be retried.
+
+    Inside a ``scratch`` block the table goes with the block, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, kind)
+    outer = _scratch[:-1] if keep else _scratch
+    if outer:
+        outer[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside are deleted at the end: what is still needed must be stored with ``keep``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(parts)
@@ -83,7 +130,7 @@ def append_columns(
                 arrays = list(batch.columns[:at]) + [pa.array(v, type=f.type) for v, f in zip(values, arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *[f.name for f in arrow]])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import GROUPS, append_columns, documents, fold, literal_map, slices, smallest_hashes
+from spanforge.llm.common import GROUPS, append_columns, documents, fold, lean, literal_map, slices, smallest_hashes
 
 UNKNOWN = "und"
 _BITS = 21
@@ -143,7 +143,7 @@ def fit_profiles(docs: DataFrame, train=None, *, id_col: str = "doc_id", text_co
             grams, counts = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["l", "g", "n"])
 
-    counts = chosen.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(lean(count), "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("l").orderBy(F.desc("n"), "g")
     ranked: dict[str, list[int]] = {}
     for row in counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= size).orderBy("l", "r").collect():

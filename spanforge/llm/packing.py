@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import documents, materialise, slices
+from spanforge.llm.common import documents, lean, materialise, slices
 from spanforge.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -94,7 +94,7 @@ def tokenised_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     ids_ = batch.column(0).take(pa.array(of, pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids_, pa.array(cols[0], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import append_columns, documents, materialise
+from spanforge.llm.common import append_columns, documents, lean, materialise
 from spanforge.llm.components import connected_components
 
 RADIUS = 2
@@ -232,7 +232,7 @@ def _compared(filed: DataFrame, radius: int) -> DataFrame:
         if count:
             yield from flush(True)
 
-    return filed.select("v", "_at", "_file").repartition("_at", "_file").sortWithinPartitions("_at", "_file", "v").mapInArrow(run, "a long, b long")
+    return filed.select("v", "_at", "_file").repartition("_at", "_file").sortWithinPartitions("_at", "_file", "v").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(fps: DataFrame, *, id_col: str = "doc_id", fp: str = "fp", radius: int = RADIUS) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import documents, shared_dir, slices
+from spanforge.llm.common import documents, lean, shared_dir, slices
 
 END_OF_DOCUMENT = 50256
 #: Bytes of a token file that one vectorised search covers.
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
                     out.append(ids.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    tokens = rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
+    tokens = rows.mapInArrow(lean(encode), "value binary").select(F.col("value").cast("string").alias("value"))
     tokens.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
     at = F.monotonically_increasing_id()
     return docs.select(F.shiftright(at, 33).cast("int").alias("file_no"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("document"), F.col(id_col).alias(id_col))
@@ -185,7 +185,7 @@ def scan_token_files(spark, path: str, *, eod: int = END_OF_DOCUMENT, block_byte
                     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows))] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["file", "block", "start", "size", "n", "last", "lengths"])
 
-    blocks = files.mapInArrow(scan, "file string, block int, start long, size long, n long, last long, lengths array<long>")
+    blocks = files.mapInArrow(lean(scan), "file string, block int, start long, size long, n long, last long, lengths array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     ended = F.max(F.when(F.col("last") >= 0, F.col("start") + F.col("last") + 1))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import append_columns, documents, fold, materialise, slices, smallest_hashes
+from spanforge.llm.common import append_columns, documents, fold, lean, materialise, slices, smallest_hashes
 
 #: Most examples of each label.
 EXAMPLES = 3000
@@ -252,7 +252,7 @@ def fit_index(docs: DataFrame, labels: DataFrame, train=None, *, id_col: str = "
 
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    counts = sample.select("t", "y").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b")).where("a + b >= 4")
+    counts = sample.select("t", "y").mapInArrow(lean(count), "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b")).where("a + b >= 4")
     a, b = F.col("a"), F.col("b")
     lean = b * n0 - a * n1
     chi = (n0 + n1) * lean * lean / F.greatest((a + b) * (n0 + n1 - a - b) * F.lit(float(n0) * n1), F.lit(1.0))
@@ -268,7 +268,7 @@ def fit_index(docs: DataFrame, labels: DataFrame, train=None, *, id_col: str = "
 
     many = T.ArrayType(T.IntegerType())
     schema = T.StructType([sample.schema["i"], T.StructField("y", T.IntegerType()), T.StructField("v", many), T.StructField("c", many), T.StructField("r", T.LongType())])
-    rows = sample.select("i", "t", "y").mapInArrow(vectors, schema).collect()
+    rows = sample.select("i", "t", "y").mapInArrow(lean(vectors), schema).collect()
     # examples of like terms share a block
     rows.sort(key=lambda r: (r["v"], r["y"], r["c"], r["r"], r["i"]))
     weights = tuple(all_.get(y, 0) / max(1, sizes.get(y, 0)) for y in (0, 1))

@@ -4,17 +4,17 @@ Two texts are near copies if the sets of their five-word shingles have a Jaccard
 likeness of 0.8 or more. Their SimHash fingerprints then differ in 9.7 of 64 bits
 on average (standard deviation 2.9), so the radius is 24: more than four standard deviations above, also for
 texts of few shingles. At such a radius blocks of agreeing bits file nothing (25 blocks of two
-or three bits), so texts are filed by 32 bands of 6 minimum hashes of the same shingles: two of likeness 0.8 share
-a file with a chance of 0.99994, more alike ones with a higher one.
+or three bits), so texts are filed by 24 bands of 5 minimum hashes of the same shingles: two of likeness 0.8 share
+a file with a chance of 0.99993, more alike ones with a higher one.
 
 Texts of the same shingle set are one class and take part once. Classes that
 are connected by files form a group. The members of a group that fits a run (``RUN``
-members) meet once and each is compared with each. A larger group is
-taken file by file, each file dealt into runs by hash; what the links within the
-runs leave apart is then compared with all runs of its file. So a large group of
-copies costs runs x ``RUN`` comparisons a member, plus the few left apart against the file. A run's
+members) meet once and each is compared with each. A larger group is dealt into runs by
+hash, as a whole or file by file, whichever gives fewer comparisons; what the links within the
+runs do not connect with most of the group (file) is then compared with all its runs. So a large group of
+copies costs ``RUN`` comparisons a member, plus those left apart against the whole. A run's
 fingerprints stand in bit planes (``simhash.close_pairs``), and only pairs within the radius have their shared
-shingles counted. Runs give spanning forests, not pairs.
+shingles counted. Runs give spanning forests, not pairs. Texts move compressed, and only those of groups move to runs.
 
 Defined results: words are separated by ASCII white space, in lower case (ASCII); a text of fewer than five words
 is one shingle; null, empty and blank texts have the empty set and are one class. A null id stays
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import append_columns, materialise
+from spanforge.llm.common import append_columns, lean, materialise, scratch, slices
 from spanforge.llm.components import connected_components
 from spanforge.llm.simhash import close_pairs, majority
 
@@ -37,10 +37,10 @@ WORDS = 5
 #: Least likeness as a fraction of whole numbers: 4 / 5.
 LEAST = (4, 5)
 RADIUS = 24
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 24, 5
 SEED = 42
 #: Members of a run, and shingles of all of them.
-RUN = 256
+RUN = 1024
 RUN_SHINGLES = 1 << 20
 #: Shingles whose hashes are held at once; rows and bytes of whole runs that are compared at once.
 _STEP = 2048
@@ -77,22 +77,23 @@ def banding():
 
 
 def filed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns with ``set`` (the mark of the shingle set), ``size``, ``fp`` (SimHash of the set) and ``bands``."""
+    """All rows and columns with ``set`` (the mark of the shingle set), ``size``, ``fp`` (SimHash of the set), ``bands`` and ``z`` (the text's bytes as a zstd frame)."""
 
     def make():
         import xxhash
+        import zstandard
 
-        keys = banding()
+        keys, pack = banding(), zstandard.ZstdCompressor(level=3).compress
 
         def run(texts):
             sets = [shingles(t) for t in texts]
             marks = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
             prints = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
-            return [marks, [len(s) for s in sets], prints, [keys(s) if len(s) else [] for s in sets]]
+            return [marks, [len(s) for s in sets], prints, [keys(s) if len(s) else [] for s in sets], [pack(t or b"") for t in texts]]
 
         return run
 
-    return append_columns(docs, text_col, [("set", T.LongType()), ("size", T.LongType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType()))], make, as_bytes=True)
+    return append_columns(docs, text_col, [("set", T.LongType()), ("size", T.LongType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("z", T.BinaryType())], make, as_bytes=True)
 
 
 def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -131,6 +132,9 @@ def compared(runs: DataFrame, texts: DataFrame) -> DataFrame:
     """Forests (a, b) of the near copies within each run of ``runs`` (u, v, w, set, fp, size, root); pairs of one root are taken as linked."""
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         held: list[pa.RecordBatch] = []
 
         def flush(last: bool):
@@ -159,7 +163,7 @@ def compared(runs: DataFrame, texts: DataFrame) -> DataFrame:
                     continue
                 used, places = np.unique(np.concatenate((i[a:b], j[a:b])), return_inverse=True)
                 x, y = places[: b - a], places[b - a :]
-                sets = [shingles(body[int(k)].as_py()) for k in used]
+                sets = [shingles(unpack(body[int(k)].as_py())) for k in used]
                 both = shared_counts(sets, x, y)
                 lengths = np.array([len(s) for s in sets])
                 near = LEAST[1] * both >= LEAST[0] * (lengths[x] + lengths[y] - both)
@@ -177,8 +181,8 @@ def compared(runs: DataFrame, texts: DataFrame) -> DataFrame:
         if held:
             yield from flush(True)
 
-    whole = runs.join(texts, "set").select("u", "v", "w", "set", "fp", "size", "root", F.col("text").cast("binary").alias("text"))
-    return whole.repartition("u", "v", "w").sortWithinPartitions("u", "v", "w").mapInArrow(run, "a long, b long")
+    whole = runs.join(texts, "set").select("u", "v", "w", "set", "fp", "size", "root", "z")
+    return whole.repartition("u", "v", "w").sortWithinPartitions("u", "v", "w").mapInArrow(lean(run), "a long, b long")
 
 
 def _runs_of(count, size):
@@ -186,51 +190,78 @@ def _runs_of(count, size):
     return F.ceil(F.greatest(count / F.lit(RUN), size / F.lit(RUN_SHINGLES), F.lit(1.0))).cast("int")
 
 
-def linked(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the sets that have a near copy; ``classes`` is (set, size, fp, bands), ``texts`` (set, text), one row a set."""
-    rows = materialise(classes.where("size > 0").select("set", F.explode("bands").alias("key")), "bands")
-    heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("head")).where("n > 1").select("key", "head")
-    files = materialise(rows.join(heads, "key"), "files")
-    groups = connected_components(files.select(F.col("head").alias("a"), F.col("set").alias("b")))
-    members = classes.select("set", "size", "fp").join(groups, F.col("set") == F.col("node")).select("set", "size", "fp", F.col("root").alias("group"))
-    wide = members.groupBy("group").agg(_runs_of(F.count("*"), F.sum("size")).alias("runs"))
+def linked(stored: DataFrame) -> DataFrame:
+    """(node, root) of the sets that have a near copy; ``stored`` is (set, size, fp, bands, z, place), any rows a set."""
+    rows = stored.where("size > 0").select("set", F.explode("bands").alias("key"))
+    # files of more than one set. This and other tables below grow with the corpus: they are merged, never broadcast
+    heads = materialise(rows.groupBy("key").agg(F.min("set").alias("head"), F.max("set").alias("last")).where("head <> last").drop("last"), "heads")
+    files = materialise(rows.join(heads.hint("merge"), "key").distinct(), "files")
+    # a set is tied to the least of its files' heads (one a band), and that one to the others
+    tied = files.groupBy("set").agg(F.collect_set("head").alias("heads"))
+    ties = tied.select(F.array_min("heads").alias("a"), F.explode(F.array_append("heads", F.col("set"))).alias("b"))
+    groups = connected_components(ties)
+    found = stored.select("set", "size", "fp", "place").join(groups, F.col("set") == F.col("node")).groupBy("set").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.min("place").alias("place"), F.first("root").alias("group"))
+    found = materialise(found, "found")
+    texts = materialise(stored.select("place", "z").join(found.select("set", "place").hint("merge"), "place").select("set", "z"), "texts")
+    members = found.drop("place")
+    wide = members.groupBy("group").agg(F.count("*").alias("count"), _runs_of(F.count("*"), F.sum("size")).alias("runs"))
     members = materialise(members.join(wide, "group"), "members")
     none = F.lit(0).cast("long")
     small = members.where("runs = 1").select(F.col("group").alias("u"), none.alias("v"), none.alias("w"), "set", "fp", "size", F.col("set").alias("root"))
     links = materialise(compared(small, texts), "links")
-    large = members.where("runs > 1").select("set", "size", "fp")
+    large = members.where("runs > 1")
     if large.isEmpty():
         return connected_components(links)
 
-    # file by file, a file's members dealt into runs
-    filed_ = materialise(files.select("key", "set").join(large, "set"), "large")
-    sizes = filed_.groupBy("key").agg(_runs_of(F.count("*"), F.sum("size")).alias("runs"))
-    dealt = filed_.join(sizes, "key").withColumn("run", F.pmod(F.xxhash64("set", "key"), F.col("runs").cast("long")))
-    within = dealt.select(F.col("key").alias("u"), F.col("run").alias("v"), none.alias("w"), "set", "fp", "size", F.col("set").alias("root"))
+    # a large group as a whole or file by file: ``n`` comparisons a row of a file, ``count`` a row of the group
+    filed_ = files.join(files.groupBy("key").agg(F.count("*").alias("n")), "key").join(large.select("set", "size", "fp", "group", "count"), "set")
+    costs = filed_.groupBy("group").agg(F.sum("n").alias("cost"), F.first("count").alias("count")).select("group", (F.col("cost") < F.col("count") * F.col("count")).alias("split"))
+    split = filed_.join(costs.where("split"), "group").select(F.col("key").alias("unit"), "set", "size", "fp")
+    units = materialise(large.join(costs.where("not split"), "group").select(F.col("group").alias("unit"), "set", "size", "fp").unionByName(split), "large")
+    sizes = units.groupBy("unit").agg(_runs_of(F.count("*"), F.sum("size")).alias("runs"))
+    dealt = units.join(sizes, "unit").withColumn("run", F.pmod(F.xxhash64("set", "unit"), F.col("runs").cast("long")))
+    within = dealt.select(F.col("unit").alias("u"), F.col("run").alias("v"), none.alias("w"), "set", "fp", "size", F.col("set").alias("root"))
     links = links.unionByName(materialise(compared(within, texts), "links"))
     roots = connected_components(links)
 
-    # what is not connected with most of its file, against all runs of the file
-    named = materialise(dealt.where("runs > 1").join(roots, F.col("set") == F.col("node"), "left").select("key", "run", "runs", "set", "fp", "size", F.coalesce("root", "set").alias("root")), "named")
-    most = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    apart = named.join(most, "key").where("root <> main").drop("main")
-    need = apart.groupBy("key").agg(_runs_of(F.count("*"), F.sum("size")).alias("others"))
-    tile = F.struct(F.col("run").alias("v"), F.col("other").alias("w"))
-    apart = apart.join(need, "key").withColumn("other", F.pmod(F.xxhash64("set", "key", F.lit(1)), F.col("others").cast("long")))
-    one = apart.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs").cast("long") - 1)))
-    two = named.join(need, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)))
-    tiles = one.unionByName(two.select(*one.columns)).select(F.col("key").alias("u"), tile.alias("t"), "set", "fp", "size", "root").select("u", "t.v", "t.w", "set", "fp", "size", "root").distinct()
+    # what is not connected with most of its unit, against all runs of the unit
+    named = materialise(dealt.where("runs > 1").join(roots, F.col("set") == F.col("node"), "left").select("unit", "run", "runs", "set", "fp", "size", F.coalesce("root", "set").alias("root")), "named")
+    most = named.groupBy("unit", "root").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    apart = named.join(most, "unit").where("root <> main").drop("main")
+    need = apart.groupBy("unit").agg(_runs_of(F.count("*"), F.sum("size")).alias("others"))
+    apart = apart.join(need, "unit").withColumn("other", F.pmod(F.xxhash64("set", "unit", F.lit(1)), F.col("others").cast("long")))
+    one = apart.withColumn("run", F.explode(F.sequence(none, F.col("runs").cast("long") - 1)))
+    two = named.join(need, "unit").withColumn("other", F.explode(F.sequence(none, F.col("others").cast("long") - 1)))
+    tiles = one.unionByName(two.select(*one.columns)).select(F.col("unit").alias("u"), F.col("run").alias("v"), F.col("other").alias("w"), "set", "fp", "size", "root").distinct()
     return connected_components(links.unionByName(materialise(compared(tiles, texts), "links")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of least id stays, of equal ids one."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    stored = materialise(filed(rows).select("row", "set", "size", "fp", "bands", F.monotonically_increasing_id().alias("place")), "shingles")
-    classes = stored.groupBy("set").agg(*[F.first(c).alias(c) for c in ("size", "fp", "bands")], F.min("place").alias("place"))
-    classes = materialise(classes, "classes")
-    texts = stored.select("place", F.col("row").getField(text_col).alias("text")).join(classes.select("set", "place"), "place").select("set", "text")
-    roots = linked(classes, texts)
-    marked = stored.select("set", F.col("row").getField(id_col).alias("doc_id"), "place").join(roots, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set"))
-    kept = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("best")).select(F.col("best.place").alias("place"))
-    return stored.join(kept, "place", "left_semi").select("row.*")
+    names = docs.columns
+    rest = [c for c in names if c != text_col]
+    text = F.col(f"`{text_col}`")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], text.isNull().alias("void"))
+    marked = filed(docs.select(row.alias("row"), text.alias("text"))).select("row", "z", "set", "size", "fp", "bands", F.monotonically_increasing_id().alias("place"))
+    stored = materialise(marked, "shingles")
+    with scratch(docs.sparkSession):
+        doc_id = F.col("row").getField(f"c{rest.index(id_col)}")
+        found = stored.select("set", doc_id.alias("doc_id"), "place").join(linked(stored), F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set"))
+        # without the rows that are alone
+        best = found.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("best")).where("n > 1")
+        gone = found.join(best, "root").where(F.col("place") != F.col("best.place")).select("place")
+        gone = materialise(gone, "gone", keep=True)
+    kept = stored.select("place", "row", "z").join(gone.hint("merge"), "place", "left_anti")
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for batch in slices(whole):
+                out = [None if void else unpack(z).decode("utf-8") for z, void in zip(batch.column(len(rest)).to_pylist(), batch.column(len(rest) + 1).to_pylist())]
+                cols = {c: batch.column(k) for k, c in enumerate(rest)} | {text_col: pa.array(out, pa.string())}
+                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+
+    flat = [F.col("row").getField(f"c{i}").alias(f"c{i}") for i in range(len(rest))]
+    return kept.select(*flat, "z", F.col("row.void").alias("void")).mapInArrow(lean(run), docs.schema)

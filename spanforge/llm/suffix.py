@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import documents, materialise, slices
+from spanforge.llm.common import documents, lean, materialise, scratch, slices
 
 WINDOW = 400
+#: Bytes of a gram, 2 to the number of odd factors below.
 GRAM = 32
 SHALLOW = 32
 #: Places of one anchor gram above which its strings are dealt out singly.
@@ -55,7 +56,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 32 bytes from each position on."""
+    """A 64-bit hash of the ``GRAM`` bytes from each position on."""
     h = _TABLE[data]
     for k, odd in enumerate(_ODD):
         step = 1 << k
@@ -95,8 +96,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple
 
 def _anchor_rows(keyed: DataFrame, window: int) -> DataFrame:
     """(h, uid, k1, span) of every text of ``keyed`` (uid, k1, body); ``span`` is the anchor's position and its distances to the first and last string start."""
-    if window >= 1 << _BITS:
-        raise ValueError(f"a window must be under {1 << _BITS} bytes")
+    if not GRAM <= window < 1 << _BITS:
+        raise ValueError(f"a window must have at least {GRAM} and under {1 << _BITS} bytes")
 
     def run(batches):
         held, size = [], 0
@@ -122,7 +123,7 @@ def _anchor_rows(keyed: DataFrame, window: int) -> DataFrame:
         if held:
             yield flush()
 
-    return keyed.select("uid", "k1", "body").mapInArrow(run, "h long, uid long, k1 long, span long")
+    return keyed.select("uid", "k1", "body").mapInArrow(lean(run), "h long, uid long, k1 long, span long")
 
 
 # -- deep-shallow sorting ----------------------------------------------------
@@ -296,7 +297,7 @@ def _squeezed(keyed: DataFrame) -> DataFrame:
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(pack, batch.column(1).to_pylist()), pa.binary())], names=["uid", "z"])
 
-    return keyed.select("uid", "body").mapInArrow(run, "uid long, z binary")
+    return keyed.select("uid", "body").mapInArrow(lean(run), "uid long, z binary")
 
 
 def _contexts(texts: DataFrame, window: int) -> DataFrame:
@@ -325,7 +326,7 @@ def _contexts(texts: DataFrame, window: int) -> DataFrame:
                             col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return texts.select("uid", "z", "found").mapInArrow(run, "h long, e1 long, e2 long, uid long, lo long, at long, bytes binary")
+    return texts.select("uid", "z", "found").mapInArrow(lean(run), "h long, e1 long, e2 long, uid long, lo long, at long, bytes binary")
 
 
 def _sorted_groups(contexts: DataFrame, window: int, first_stays: bool = False) -> DataFrame:
@@ -372,7 +373,7 @@ def _sorted_groups(contexts: DataFrame, window: int, first_stays: bool = False)
         yield emit()
 
     ordered = contexts.select("h", "uid", "lo", "at", "bytes").repartition("h").sortWithinPartitions("h")
-    return ordered.mapInArrow(run, "uid long, low long, high long")
+    return ordered.mapInArrow(lean(run), "uid long, low long, high long")
 
 
 def _salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -405,7 +406,7 @@ def _single_strings(contexts: DataFrame, window: int, first_stays: bool = False)
                             col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["w1", "w2", "uid", "lo", "n"])
 
-    strings = firsts.select("uid", "lo", "n", "bytes").mapInArrow(run, "w1 long, w2 long, uid long, lo long, n long")
+    strings = firsts.select("uid", "lo", "n", "bytes").mapInArrow(lean(run), "w1 long, w2 long, uid long, lo long, n long")
     twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(place).alias("earliest")).where("c > 1").drop("c")
     hit = _salted(strings if first_stays else strings.where("n = 1"), twice, ["w1", "w2"])
     if first_stays:
@@ -421,12 +422,17 @@ def keyed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, *, window: int = WINDOW, crowded: int = CROWDED, first_stays: bool = False) -> DataFrame:
-    """(uid, k1, whole, spans) of the texts with something to remove; ``whole`` if the text itself repeats (with ``first_stays``: an earlier one).
+    """(uid, k1, whole, spans) of the texts with something to remove, as a stored table; ``whole`` if the text itself repeats (with ``first_stays``: an earlier one).
 
     ``keyed`` comes from ``keyed_texts`` over a stored table: it is read several
     times and its rows must keep their places, which ``k1`` proves when the
     result is joined.
     """
+    with scratch(keyed.sparkSession):
+        return materialise(_repeated_spans(keyed, window, crowded, first_stays), "spans", keep=True)
+
+
+def _repeated_spans(keyed: DataFrame, window: int, crowded: int, first_stays: bool) -> DataFrame:
     keys = keyed.select("uid", "k1", "k2", F.length("body").cast("long").alias("n")).where(F.col("n") >= window)
     copies = keys.groupBy("k1", "k2").agg(F.min("uid").alias("first"), F.count("*").alias("c"))
     leads = F.col("uid") == F.col("first")
@@ -437,12 +443,13 @@ def repeated_spans(keyed: DataFrame, *, window: int = WINDOW, crowded: int = CRO
     # stored, so that both sides of the join are plain exchanges and a hot gram's rows can be split
     shared = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("h", (F.col("n") > crowded).alias("crowded"))
     shared = materialise(shared, "shared")
-    listed = found.join(shared, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "span", "crowded")).alias("found"))
+    # it grows with the corpus, so it is never broadcast
+    listed = found.join(shared.hint("merge"), "h").groupBy("uid").agg(F.collect_list(F.struct("h", "span", "crowded")).alias("found"))
     leading = materialise(listed.join(texts.where("leads").select("uid"), "uid", "left_semi"), "listed")
 
     def contexts(which) -> DataFrame:
         chosen = leading.withColumn("found", F.filter("found", which)).where(F.size("found") > 0)
-        return _contexts(_squeezed(keyed).join(chosen, "uid"), window)
+        return _contexts(_squeezed(keyed).join(chosen.hint("merge"), "uid"), window)
 
     ranges = _sorted_groups(contexts(lambda a: ~a["crowded"]), window, first_stays)
     if not leading.where(F.exists("found", lambda a: a["crowded"])).isEmpty():
@@ -453,8 +460,7 @@ def repeated_spans(keyed: DataFrame, *, window: int = WINDOW, crowded: int = CRO
 
 def _joined(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """``rows`` (uid, k1, ...) with ``whole`` and ``spans``; an error where a place holds another text than before."""
-    spans = materialise(spans.withColumnRenamed("k1", "_k1"), "spans")
-    joined = rows.join(spans, "uid", "left")
+    joined = rows.join(spans.withColumnRenamed("k1", "_k1").hint("merge"), "uid", "left")
     moved = F.col("_k1").isNotNull() & (F.col("_k1") != F.col("k1"))
     return joined.withColumn("whole", F.when(moved, F.raise_error(F.lit("the table's rows changed places")).cast("boolean")).otherwise(F.col("whole")))
 
@@ -495,7 +501,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WIN
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     flat = [F.col("row").getField(f"c{i}").alias(f"c{i}") for i in range(len(rest))]
-    cut = joined.select(*flat, F.col("row.void").alias("void"), "z", "whole", "spans").mapInArrow(run, docs.schema)
+    cut = joined.select(*flat, F.col("row.void").alias("void"), "z", "whole", "spans").mapInArrow(lean(run), docs.schema)
     return cut.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut
 
 
@@ -511,7 +517,7 @@ def _squeezed_rows(keyed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(map(pack, batch.column(3).to_pylist()), pa.binary())], names=["row", "uid", "k1", "z"])
 
     schema = T.StructType([keyed.schema["row"], T.StructField("uid", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("z", T.BinaryType())])
-    return keyed.select("row", "uid", "k1", "body").mapInArrow(run, schema)
+    return keyed.select("row", "uid", "k1", "body").mapInArrow(lean(run), schema)
 
 
 def op2_suffix_array_dedup(spark, sf_dir):
@@ -536,4 +542,4 @@ def op2_suffix_array_dedup(spark, sf_dir):
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=names)
 
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names[1:4]], T.StructField(names[4], T.StringType())])
-    return joined.select("row", "z", "whole", "spans").mapInArrow(run, schema)
+    return joined.select("row", "z", "whole", "spans").mapInArrow(lean(run), schema)

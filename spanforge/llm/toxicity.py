@@ -254,8 +254,8 @@ def fit_index(docs: DataFrame, labels: DataFrame, train=None, *, id_col: str = "
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     counts = sample.select("t", "y").mapInArrow(lean(count), "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b")).where("a + b >= 4")
     a, b = F.col("a"), F.col("b")
-    lean = b * n0 - a * n1
-    chi = (n0 + n1) * lean * lean / F.greatest((a + b) * (n0 + n1 - a - b) * F.lit(float(n0) * n1), F.lit(1.0))
+    tilt = b * n0 - a * n1
+    chi = (n0 + n1) * tilt * tilt / F.greatest((a + b) * (n0 + n1 - a - b) * F.lit(float(n0) * n1), F.lit(1.0))
     names = sorted(r["term"] for r in counts.where(chi >= SIGNIFICANT).select("term").collect())
     known = Vocabulary(names)
 

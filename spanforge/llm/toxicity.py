@@ -11,7 +11,7 @@ frequency over the examples, at unit length.
 The inverted index is in blocks of examples with the largest weight of each term
 in each block: a query's bound for a block is one product of sums, blocks are opened
 from the highest bound on, and the search ends, exactly, when no bound reaches
-the least similarity that still counts. All examples at least as similar as the
+the least similarity that still counts; where many blocks remain after the first few, their postings are added up at once. All examples at least as similar as the
 k-th vote, with the squared cosine times the inverse of their label's sampling
 rate. The votes of the examples themselves, each without itself, calibrate the
 score: a logistic curve over the vote's log-odds, fitted by weighted likelihood. The examples
@@ -41,6 +41,8 @@ from spanforge.llm.common import append_columns, documents, fold, lean, material
 EXAMPLES = 3000
 NEIGHBOURS = 8
 BLOCK = 64
+#: Blocks that a search opens one by one before it looks at what is left.
+OPENED = 4
 BEGINNINGS = (5, 6, 7)
 THRESHOLD = 0.7
 #: Least chi-squared of a term (one degree of freedom).
@@ -131,6 +133,12 @@ class Index:
             # the block's postings, one term after the other
             order = np.argsort(term, kind="stable")
             self.lists.append((term[order], member[order], weight[order]))
+        # and all postings by term, for queries that few blocks can be left out of
+        term = np.concatenate([t for t, _ in vectors]) if n else np.empty(0, dtype=np.int64)
+        order = np.argsort(term, kind="stable")
+        self.starts = np.searchsorted(term[order], np.arange(self.size + 1))
+        self.member = np.repeat(np.arange(n), [len(t) for t, _ in vectors])[order]
+        self.weight = np.concatenate([w for _, w in vectors])[order] if n else np.empty(0)
         every = self.votes.sum()
         self.share = float((self.votes * self.labels).sum() / every) if n else 0.0
         self.plain: tuple[float, list[int]] | None = None
@@ -157,9 +165,19 @@ class Index:
         query = np.zeros(self.size)
         query[at] = weight
         who, how, least = [], [], 0.0
-        for b in order.tolist():
+        for opened, b in enumerate(order.tolist()):
             if bounds[b] <= 0 or bounds[b] < least - 1e-12:
                 break
+            if opened == OPENED and len(left := order[opened:][bounds[order[opened:]] >= max(least - 1e-12, 1e-300)]) > OPENED:
+                # many blocks may still count: their postings are added up term by term at once
+                score = np.round(self._sums(at, weight), 12)
+                score[np.flatnonzero(~np.isin(np.arange(self.n) // BLOCK, left))] = 0
+                if skip >= 0:
+                    score[skip] = 0
+                hit = np.flatnonzero(score > 0 if not least else score >= least)
+                who.append(hit)
+                how.append(score[hit])
+                break
             term, member, held = self.lists[b]
             score = np.round(np.bincount(member, query[term] * held, BLOCK), 12)
             if skip >= 0 and skip // BLOCK == b:
@@ -175,10 +193,18 @@ class Index:
         if not who:
             return none
         who_, how_ = np.concatenate(who), np.concatenate(how)
+        if len(how_) >= k:
+            least = float(np.partition(how_, len(how_) - k)[len(how_) - k])
         keep = how_ >= least
         order = np.lexsort((who_[keep], -how_[keep]))
         return who_[keep][order], how_[keep][order]
 
+    def _sums(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Products of the query with all examples."""
+        parts = [slice(self.starts[t], self.starts[t + 1]) for t in at.tolist()]
+        held = np.concatenate([self.weight[p] * w for p, w in zip(parts, weight.tolist())])
+        return np.bincount(np.concatenate([self.member[p] for p in parts]), held, self.n)
+
     def _vote(self, vector: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray]:
         who, cosine = self.nearest(*vector, skip=skip)
         vote = self.votes[who] * cosine**2

@@ -543,7 +543,7 @@ def _dense(index, example):
 
 def test_block_max_search_is_exact():
     rng = random.Random(8)
-    index, examples = _toxic_index(rng, 500)
+    index, examples = _toxic_index(rng, 1500)
     unit = np.array([_dense(index, e) for e in examples])
     for k in range(60):
         found = sorted(rng.sample(range(40), rng.randint(0, 5)))

@@ -301,7 +301,7 @@ def _squeezed(keyed: DataFrame) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, window: int) -> DataFrame:
-    """Contexts of the anchors listed with each text: (h, e1, e2, uid, lo, at, bytes)."""
+    """Contexts of the anchors listed with each text: (h, e1, e2, uid, lo, at, bytes, crowded)."""
 
     def run(batches):
         import xxhash
@@ -309,8 +309,8 @@ def _contexts(texts: DataFrame, window: int) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         digest = xxhash.xxh3_128_intdigest
-        names = ["h", "e1", "e2", "uid", "lo", "at", "bytes"]
-        kinds = [pa.int64()] * 6 + [pa.binary()]
+        names = ["h", "e1", "e2", "uid", "lo", "at", "bytes", "crowded"]
+        kinds = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
         for whole in batches:
             for batch in slices(whole, 128):
                 cols: list[list] = [[] for _ in names]
@@ -322,11 +322,11 @@ def _contexts(texts: DataFrame, window: int) -> DataFrame:
                         lo = pos - (span >> _BITS & (1 << _BITS) - 1)
                         piece = body[lo : lo + (span & (1 << _BITS) - 1) + window]
                         e = digest(piece, pos - lo)
-                        for col, value in zip(cols, (a["h"], (e >> 64) - (1 << 63), (e & ((1 << 64) - 1)) - (1 << 63), uid, lo, pos - lo, piece)):
+                        for col, value in zip(cols, (a["h"], (e >> 64) - (1 << 63), (e & ((1 << 64) - 1)) - (1 << 63), uid, lo, pos - lo, piece, a["crowded"])):
                             col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return texts.select("uid", "z", "found").mapInArrow(lean(run), "h long, e1 long, e2 long, uid long, lo long, at long, bytes binary")
+    return texts.select("uid", "z", "found").mapInArrow(lean(run), "h long, e1 long, e2 long, uid long, lo long, at long, bytes binary, crowded boolean")
 
 
 def _sorted_groups(contexts: DataFrame, window: int, first_stays: bool = False) -> DataFrame:
@@ -447,13 +447,14 @@ def _repeated_spans(keyed: DataFrame, window: int, crowded: int, first_stays: bo
     listed = found.join(shared.hint("merge"), "h").groupBy("uid").agg(F.collect_list(F.struct("h", "span", "crowded")).alias("found"))
     leading = materialise(listed.join(texts.where("leads").select("uid"), "uid", "left_semi"), "listed")
 
-    def contexts(which) -> DataFrame:
-        chosen = leading.withColumn("found", F.filter("found", which)).where(F.size("found") > 0)
-        return _contexts(_squeezed(keyed).join(chosen.hint("merge"), "uid"), window)
-
-    ranges = _sorted_groups(contexts(lambda a: ~a["crowded"]), window, first_stays)
-    if not leading.where(F.exists("found", lambda a: a["crowded"])).isEmpty():
-        ranges = ranges.unionByName(_single_strings(materialise(contexts(lambda a: a["crowded"]), "contexts"), window, first_stays))
+    every = _contexts(_squeezed(keyed).join(leading.hint("merge"), "uid"), window)
+    hot = not leading.where(F.exists("found", lambda a: a["crowded"])).isEmpty()
+    if hot:
+        # read by both ways below
+        every = materialise(every, "contexts")
+    ranges = _sorted_groups(every.where("not crowded"), window, first_stays)
+    if hot:
+        ranges = ranges.unionByName(_single_strings(every.where("crowded"), window, first_stays))
     spans = ranges.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return texts.where("leads or whole").join(spans, "uid", "left").where("whole or spans is not null").select("uid", "k1", "whole", "spans")
 

@@ -96,3 +96,36 @@ def test_config():
     assert EngineConfig.from_env({"SPANFORGE_TOP_K": "3"}).top_k == 3
     with pytest.raises(ValueError):
         EngineConfig(rerank_input="odd")
+
+
+def test_repeated_keys_of_a_batch_are_appended_once(spark, tmp_path):
+    from spanforge.sources import sinks
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5)], "k string, v int")
+    path = str(tmp_path / "t")
+    for _ in range(2):
+        sinks.append_new(rows.where("k is not null"), path, "k")
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    sinks.append_new(rows, path, "k")
+    assert spark.read.parquet(path).where("k is null").count() == 2
+
+
+def test_a_missing_manifest_is_empty(spark, tmp_path):
+    from spanforge.sources import readers
+
+    none = readers.read_manifest(spark, str(tmp_path / "none.json"))
+    assert none.columns == ["slug", "title", "domain", "rerank_input"] and none.collect() == []
+
+
+def test_reports_and_audit(spark, tmp_path):
+    from spanforge.sources import sinks
+
+    report = spark.createDataFrame([("all", 0.5)], "stratum string, ndcg double")
+    path = str(tmp_path / "runs")
+    sinks.write_report(report, path, "one")
+    sinks.write_report(report, path, "two")
+    sinks.write_report(report.limit(0).unionByName(report), path, "one")
+    assert sorted(r["run"] for r in spark.read.json(path).collect()) == ["one", "two"]
+    for _ in range(2):
+        sinks.append_audit(report, str(tmp_path / "audit"))
+    assert spark.read.json(str(tmp_path / "audit")).count() == 2

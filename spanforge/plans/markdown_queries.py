@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as X
-from spanforge.operators import chunking
 from spanforge.operators import markdown as M
 from spanforge.session import read_table
 
 _FENCED = "'```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10)"
 
-#: One markdown book for each source; every seventh document holds a fenced line that looks like a heading.
-SQL_MD = f"""md AS (SELECT source AS slug, string_agg('# ' || lang || chr(10) || '## doc ' || doc_id || chr(10)
-  || CASE WHEN doc_id % 7 = 0 THEN {_FENCED} ELSE '' END || text, chr(10) ORDER BY lang, doc_id) AS markdown FROM documents GROUP BY source)"""
+#: Markdown books of the documents of a source, with ids in a run of ``BOOK_IDS``, so that a book's size does not grow with the table; every seventh document holds a fenced line that looks like a heading.
+BOOK_IDS = 10_000
+SQL_MD = f"""md AS (SELECT source || '-' || doc_id // {BOOK_IDS} AS slug, string_agg('# ' || lang || chr(10) || '## doc ' || doc_id || chr(10)
+  || CASE WHEN doc_id % 7 = 0 THEN {_FENCED} ELSE '' END || text, chr(10) ORDER BY lang, doc_id) AS markdown FROM documents GROUP BY slug)"""
 SQL_LINES = """lines AS (SELECT slug, unnest(generate_series(0, len(string_split(markdown, chr(10))) - 1)) AS ln, unnest(string_split(markdown, chr(10))) AS line FROM {src}),
 fl AS (SELECT *, regexp_matches(line, '^\\s*```') AS toggle, sum(CASE WHEN regexp_matches(line, '^\\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY slug ORDER BY ln) % 2 = 1 AS in_code FROM lines)"""
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -27,7 +27,7 @@ def book_markdown(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     fenced = F.when(F.col("doc_id") % 7 == 0, F.lit("```\n# not a heading\n```\n")).otherwise("")
     body = F.concat(F.lit("# "), "lang", F.lit("\n## doc "), F.col("doc_id").cast("string"), F.lit("\n"), fenced, "text")
-    rows = docs.select(F.col("source").alias("slug"), F.struct("lang", "doc_id", body.alias("body")).alias("s"))
+    rows = docs.select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / BOOK_IDS)).alias("slug"), F.struct("lang", "doc_id", body.alias("body")).alias("s"))
     return rows.groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["body"]), "\n").alias("markdown"))
 
 
@@ -199,20 +199,3 @@ b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<h1[^>]*>', chr(10)
 c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)</?(p|div|article|h1|ul|ol|body|head|html|title)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS h FROM b),
 d AS (SELECT page_id, regexp_replace(h, '[ \\t]*\\n[ \\t\\n]*', chr(10) || chr(10), 'g') AS h FROM c) SELECT page_id, {_STRIP.format('h')} AS markdown FROM d""",
 }
-
-
-def _chunked(spark, sf_dir):
-    return chunking.chunk_books(book_markdown(spark, sf_dir))
-
-
-def chunk_parents(spark, sf_dir):
-    """Parents of every book, by the folds."""
-    return chunking.parents_of(_chunked(spark, sf_dir))
-
-
-def chunk_children(spark, sf_dir):
-    """Children of every book, by the folds."""
-    return chunking.children_table(_chunked(spark, sf_dir))
-
-
-QUERIES |= {f.__name__: f for f in (chunk_parents, chunk_children)}

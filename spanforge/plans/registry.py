@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanforge.plans import evaluation_queries, experiment_queries, judging_queries, markdown_queries, retrieval_queries
+from spanforge.plans import chunking_queries, evaluation_queries, experiment_queries, judging_queries, markdown_queries, retrieval_queries
 
-_MODULES = [markdown_queries, retrieval_queries, evaluation_queries, experiment_queries, judging_queries]
+_MODULES = [markdown_queries, chunking_queries, retrieval_queries, evaluation_queries, experiment_queries, judging_queries]
 
 
 def flagship(spark, sf_dir):

@@ -1,12 +1,14 @@
-"""``python -m spanforge``: ingest, chunk, index, build, search, books."""
+"""``python -m spanforge``: ingest, chunk, index, build, search, books, serve."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from spanforge.api import DocumentStore
 from spanforge.config import EngineConfig
+from spanforge.server import serve
 from spanforge.session import get_session
 
 
@@ -17,7 +19,7 @@ def main(args: list[str] | None = None) -> int:
     verbs = parser.add_subparsers(dest="verb", required=True)
     for verb in ("ingest", "build"):
         verbs.add_parser(verb).add_argument("folder")
-    for verb in ("chunk", "index", "books"):
+    for verb in ("chunk", "index", "books", "serve"):
         verbs.add_parser(verb)
     search = verbs.add_parser("search")
     search.add_argument("query")
@@ -32,6 +34,8 @@ def main(args: list[str] | None = None) -> int:
         print(json.dumps(kb.search(given.query, given.top_k, given.book), indent=2))
     elif given.verb == "books":
         print(json.dumps(kb.list_books(), indent=2))
+    elif given.verb == "serve":
+        serve(kb, sys.stdin, sys.stdout)
     else:
         getattr(kb, given.verb)()
     return 0

@@ -40,7 +40,8 @@ class DocumentStore:
 
     def chunk(self) -> None:
         md = self.table("markdown").join(self.table("books").select("slug", "title"), "slug", "left")
-        chunked = chunking.chunk_books(md, config=self.config).persist()
+        count = models.BpeCounter(self.config.token_ranks, self.config.token_pattern) if self.config.token_ranks else chunking.count_words
+        chunked = chunking.chunk_books(md, count=count, config=self.config).persist()
         sinks.append_new(chunking.parents_of(chunked), self._path("parents"), "parent_id")
         sinks.append_new(chunking.children_table(chunked), self._path("children"), "child_id")
         chunked.unpersist()

@@ -24,6 +24,9 @@ class EngineConfig:
     child_min: int = 50
     embed_max_chars: int = 8000
     rrf_k: int = 60
+    # a byte-level BPE that counts tokens; without it white-space words are counted
+    token_ranks: str = ""
+    token_pattern: str = ""
 
     def __post_init__(self):
         if self.rerank_input not in ("manifest", "heading", "child"):

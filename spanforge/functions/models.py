@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import re
+import time
 import zlib
 from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Embedder(Protocol):
@@ -92,3 +96,61 @@ def enrich(chunks: DataFrame, generate: Generator, prompt: str = "prompt", fallb
 
     empty = F.coalesce(F.col("context_text"), F.lit("")) == ""
     return chunks.withColumn("context_text", F.when(empty, run(F.when(empty, F.col(prompt)), F.col(fallback))).otherwise(F.col("context_text")))
+
+
+class BpeCounter:
+    """Tokens of a text by a byte-level BPE given as ranks (lines of a base64 token and its rank) and a pattern of pre-tokens.
+
+    Strings of special tokens are ordinary text. The ranks are read where texts are
+    counted, so the file must be there on every executor.
+    """
+
+    def __init__(self, ranks: str, pattern: str):
+        self.ranks, self.pattern, self._encode = ranks, pattern, None
+
+    def __getstate__(self):
+        return {"ranks": self.ranks, "pattern": self.pattern, "_encode": None}
+
+    def __call__(self, text: str) -> int:
+        if self._encode is None:
+            import tiktoken
+
+            with open(self.ranks, "rb") as file:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+            self._encode = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        return len(self._encode(text))
+
+
+def fan_out(rows: DataFrame, call: Generator, prompt: str, out: str = "answer", *, workers: int = 25, attempts: int = 3, wait: float = 0.5) -> DataFrame:
+    """Rows with ``out``, the answer of ``call`` to a prompt, and ``error`` (null where there is an answer).
+
+    Each partition keeps up to ``workers`` calls under way and holds the rows of one Arrow batch;
+    a call that raises is tried ``attempts`` times, the pause doubling. A null prompt is not
+    asked and has neither answer nor error.
+    """
+    names = [c for c in rows.columns if c not in (out, "error")]
+    at = names.index(prompt)
+
+    def ask(text):
+        if text is None:
+            return None, None
+        for attempt in range(attempts):
+            try:
+                return call(text), None
+            except Exception as error:
+                failed = f"{type(error).__name__}: {error}"
+                if attempt + 1 < attempts:
+                    time.sleep(wait * 2**attempt)
+        return None, failed
+
+    def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                found = list(pool.map(ask, batch.column(at).to_pylist()))
+                answers, errors = [pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, answers, errors], names=[*names, out, "error"])
+
+    kept = rows.select(*[F.col(f"`{n}`") for n in names])
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType()), T.StructField("error", T.StringType())]))

@@ -74,3 +74,14 @@ def try_pattern(pattern: str) -> str:
     except re.error as error:
         raise ValueError(f"invalid pattern: {error}") from None
     return pattern.replace("(?P<", "(?<")
+
+
+def place(below: Column) -> dict[str, Column]:
+    """``slug``, ``domain`` and ``suffix`` of a path below its root: the domain is the first folder, else ``general``."""
+    parts = F.split(below, "/")
+    name = F.element_at(parts, -1)
+    return {
+        "slug": F.regexp_replace(name, r"\.[^.]*$", ""),
+        "domain": F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise("general"),
+        "suffix": F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)),
+    }

@@ -80,3 +80,9 @@ def distinct_queries(rows: DataFrame, text: str, order: str) -> DataFrame:
     """The first row of each query text, case aside."""
     w = Window.partitionBy(F.lower(text)).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def prompt_variants(rows: DataFrame, instructions: dict[str, str], limits: dict[str, int], **fields: Column) -> DataFrame:
+    """Every row once for each instruction, with its name as ``variant`` and the ``prompt`` that its template gives."""
+    made = [F.struct(F.lit(name).alias("variant"), prompt(template, limits, **fields).alias("prompt")) for name, template in instructions.items()]
+    return rows.withColumn("_v", F.explode(F.array(*made))).withColumns({"variant": F.col("_v.variant"), "prompt": F.col("_v.prompt")}).drop("_v")

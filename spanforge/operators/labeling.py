@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanforge.functions.text import word_count
 from spanforge.session import stored
 
 
@@ -45,6 +46,37 @@ def route_eligible(chunks: DataFrame, *, heading: str = "heading_path", kind: st
     return headed.withColumn("pool", F.when(F.col(kind) == "code", "code").otherwise("prose"))
 
 
+def eligible(chunks: DataFrame, matter: str, least: int = 90, most: int = 250, text: str = "text") -> DataFrame:
+    """Chunks of ``least`` to ``most`` words (``n_words``) that do not begin with a heading of ``matter`` (a pattern of lower-case words)."""
+    rows = chunks.withColumn("n_words", word_count(F.col(text)).cast("long"))
+    return rows.where(F.col("n_words").between(least, most) & ~F.lower(text).rlike(rf"^\s*({matter})\b"))
+
+
+def usable_queries(rows: DataFrame, junk: str, least_chars: int = 10, most_words: int = 12, query: str = "query") -> DataFrame:
+    """Generated queries that hold no junk and are neither too short nor too long."""
+    return rows.where(~F.col(query).rlike(junk) & (F.length(query) >= least_chars) & (word_count(F.col(query)) <= most_words))
+
+
+def is_index_page(heading: Column) -> Column:
+    """The topmost part of a heading path is that of a split index."""
+    return F.trim(F.element_at(F.split(heading, ">"), 1)).rlike(r"^Index \(part \d+\)$")
+
+
+def index_report(pages: DataFrame, book: str, *, page: str = "page", heading: str = "heading") -> DataFrame:
+    """Of each book the index pages: how many, their first and last place, the last page kept, and whether the first lies so early that it is doubtful."""
+    at, flag = F.col(page), is_index_page(F.col(heading))
+    out = pages.groupBy(book).agg(F.count_if(flag).alias("flagged"), F.min(F.when(flag, at)).alias("first_page"), F.max(F.when(flag, at)).alias("last_page"), F.max(F.when(~flag, at)).alias("kept_last"))
+    return out.withColumn("warn", F.coalesce(F.col("first_page") < 0.5 * F.col("kept_last"), F.lit(False)))
+
+
+def key_counts(rows: DataFrame, json_col: str, keys: set[str] | None = None) -> DataFrame:
+    """Keys of JSON objects by how often they occur, of ``keys`` alone where these are given."""
+    found = rows.select(F.explode(F.json_object_keys(json_col)).alias("key"))
+    if keys is not None:
+        found = found.where(F.col("key").isin(sorted(keys)))
+    return found.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key")
+
+
 def sliced_then_capped(rows: DataFrame, caps: dict[str, int], factor: int, keep: Column, key: str, seed: str = "42") -> DataFrame:
     """Disjoint slices of ``factor`` x cap rows a kind in hash order; of each the first rows that pass ``keep``, to the cap, with their ``part``.
 

@@ -177,3 +177,17 @@ def inject_toc(pages: DataFrame, toc: DataFrame, deepest: int = 3) -> DataFrame:
     both = heads.withColumn("ord", F.col("ord").cast("int")).unionByName(body)
     ordered = F.array_sort(F.collect_list(F.struct("page", "ord", "piece")))
     return both.groupBy("slug").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "\n\n").alias("markdown"))
+
+
+def headings_by_size(lines: DataFrame, deepest: int = 3, longest: int = 200) -> DataFrame:
+    """(slug, page, ln, level, title) of the lines (slug, page, ln, text, size) set larger than their book's body.
+
+    The body's size is that of most characters (of equals the smaller); the sizes above it give the levels, largest first. Lines of
+    over ``longest`` characters, and of sizes beyond ``deepest``, are no headings.
+    """
+    chars = lines.groupBy("slug", "size").agg(F.sum(F.length("text")).alias("chars"))
+    body = chars.groupBy("slug").agg(F.max_by("size", F.struct("chars", -F.col("size"))).alias("body"))
+    above = chars.join(body, "slug").where("size > body")
+    levels = above.withColumn("level", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("size")))).where(F.col("level") <= deepest)
+    heads = lines.join(levels.select("slug", "size", "level"), ["slug", "size"])
+    return heads.where((F.length("text") <= longest) & (F.trim("text") != "")).select("slug", "page", "ln", "level", F.trim("text").alias("title"))

@@ -193,24 +193,19 @@ def hard_negatives(spark, sf_dir):
 
 
 def eligible_chunks(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
-    words = X.word_count(F.col("text"))
-    return docs.where((words >= 90) & (words <= 250) & ~F.lower("text").rlike(r"^\s*(index|contents|preface)\b")).select("doc_id", words.cast("long").alias("n_words"))
+    return L.eligible(read_table(spark, sf_dir, "documents"), "index|contents|preface").select("doc_id", "n_words")
 
 
 def junk_filter(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "query"))
-    words = X.word_count(F.col("query"))
-    return docs.where(~F.col("query").rlike(r"(?i)(^| )(the|una?)( |$)") & (F.length("query") >= 10) & (words <= 12))
+    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "query"))
+    return L.usable_queries(lines, r"(?i)(^| )(the|una?)( |$)")
 
 
 def index_page_strip(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     page = Window.partitionBy("source").orderBy("doc_id")
     rows = docs.withColumn("page", F.row_number().over(page)).withColumn("heading", F.when(F.col("page") > 45, F.concat(F.lit("Index (part "), F.col("page").cast("string"), F.lit(") > x"))).otherwise(F.concat("lang", F.lit(" > Index"))))
-    flagged = F.trim(F.element_at(F.split("heading", ">"), 1)).rlike(r"^Index \(part \d+\)$")
-    out = rows.withColumn("f", flagged).groupBy("source").agg(F.count_if("f").alias("flagged"), F.min(F.when(F.col("f"), F.col("page"))).alias("first_page"), F.max(F.when(F.col("f"), F.col("page"))).alias("last_page"), F.max(F.when(~F.col("f"), F.col("page"))).alias("kept_last"))
-    return out.withColumn("warn", F.coalesce(F.col("first_page") < 0.5 * F.col("kept_last"), F.lit(False)))
+    return L.index_report(rows, "source")
 
 
 def grade_parse(spark, sf_dir):
@@ -220,17 +215,24 @@ def grade_parse(spark, sf_dir):
     return e.select("event_id", F.element_at(g, 1).alias("g0"), F.element_at(g, 2).alias("g1"))
 
 
+JUNK_KEYS = {"ip", "session", "k", "page"}
+
+
 def scrub_keys(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
-    return L.scrub(e.select("event_id", "props"), "props", {"ip", "session", "k", "page"})
+    return L.scrub(e.select("event_id", "props"), "props", JUNK_KEYS)
 
 
 def junk_key_counts(spark, sf_dir):
-    keys = F.explode(F.json_object_keys("props")).alias("key")
-    return read_table(spark, sf_dir, "events").select(keys).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key")
+    return L.key_counts(read_table(spark, sf_dir, "events"), "props")
+
+
+def scrubbed_key_counts(spark, sf_dir):
+    """How often each key that ``scrub_keys`` removes occurs."""
+    return L.key_counts(read_table(spark, sf_dir, "events"), "props", JUNK_KEYS)
 
 
-QUERIES = {f.__name__: f for f in (ndcg_at_10, mrr_hit, eval_by_group, misses, ceiling_gap, judge_agreement, judge_confusion, score_gaps, gap_cutoffs, floor_counts, first_pos_rank, paired_delta, paired_summary, sign_test_counts, wilcoxon_ranks, bootstrap_ci, mde_table, coverage_stats, ratio_stats, lexical_overlap, stratified_allocate, stratified_sample, blind_batches, live_reconcile, child_parent_join, orphan_parents, incremental_todo, hard_negatives, eligible_chunks, junk_filter, index_page_strip, grade_parse, scrub_keys, junk_key_counts)}
+QUERIES = {f.__name__: f for f in (ndcg_at_10, mrr_hit, eval_by_group, misses, ceiling_gap, judge_agreement, judge_confusion, score_gaps, gap_cutoffs, floor_counts, first_pos_rank, paired_delta, paired_summary, sign_test_counts, wilcoxon_ranks, bootstrap_ci, mde_table, coverage_stats, ratio_stats, lexical_overlap, stratified_allocate, stratified_sample, blind_batches, live_reconcile, child_parent_join, orphan_parents, incremental_todo, hard_negatives, eligible_chunks, junk_filter, index_page_strip, grade_parse, scrub_keys, junk_key_counts, scrubbed_key_counts)}
 
 
 def _run_sql(name: str, k: int = 50, shift: bool = False) -> str:
@@ -302,4 +304,8 @@ SELECT query_id, id, tier, place FROM (SELECT *, row_number() OVER (PARTITION BY
 g AS (SELECT source, count(*) FILTER (f) AS flagged, (min(page) FILTER (f))::INT AS first_page, (max(page) FILTER (f))::INT AS last_page, (max(page) FILTER (NOT f))::INT AS kept_last FROM f GROUP BY source) SELECT *, coalesce(first_page < 0.5 * kept_last, false) AS warn FROM g""",
     "grade_parse": "SELECT event_id, least(2, event_id % 4)::INT AS g0, least(2, user_id % 3)::INT AS g1 FROM events",
     "junk_key_counts": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",
+    "scrubbed_key_counts": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) WHERE key IN ('ip', 'session', 'k', 'page') GROUP BY key",
+    # the objects are flat
+    "scrub_keys": """WITH k AS (SELECT event_id, props, list_sort(json_keys(props)) AS ks FROM events)
+SELECT event_id, '{' || array_to_string(list_transform(list_filter(ks, lambda x: x NOT IN ('ip', 'session', 'k', 'page')), lambda x: '"' || x || '":' || (json_extract(props, '$."' || x || '"'))::VARCHAR), ',') || '}' AS props, len(list_filter(ks, lambda x: x IN ('ip', 'session', 'k', 'page'))) AS removed FROM k""",
 }

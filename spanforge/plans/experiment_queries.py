@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.operators import experiments as P
+from spanforge.operators import markdown as M
 from spanforge.session import read_table
 
 
@@ -59,7 +60,28 @@ def distinct_queries(spark, sf_dir):
     return P.distinct_queries(rows, "query", "qid")
 
 
-QUERIES = {f.__name__: f for f in (promote_headings, late_pool, frozen_background, render_prompt, train_dev_split, array_key_join, label_rollup, distinct_queries)}
+#: Ways to ask for the context of a passage.
+INSTRUCTIONS = {
+    "plain": "Say in one sentence where this passage of %s stands: %s",
+    "terms": "Name the terms that a reader of %s would look this passage up by: %s",
+    "question": "Write the question about %s that this passage answers: %s",
+    "summary": "Sum up this passage of %s in two sentences: %s",
+}
+
+
+def prompt_variants(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return P.prompt_variants(docs, INSTRUCTIONS, {"text": 4000}, source=F.col("source"), text=F.col("text")).select("doc_id", "variant", "prompt")
+
+
+def headings_by_size(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    size = F.when(F.col("turn") == 0, 22.0).when(F.col("role") == "assistant", 14.0).otherwise(10.0 + F.col("conv_id") % 3)
+    lines = conv.select((F.col("conv_id") % 10).cast("string").alias("slug"), "conv_id", "turn", F.col("conv_id").alias("page"), F.col("turn").alias("ln"), "text", size.alias("size"))
+    return M.headings_by_size(lines)
+
+
+QUERIES = {f.__name__: f for f in (promote_headings, late_pool, frozen_background, render_prompt, train_dev_split, array_key_join, label_rollup, distinct_queries, prompt_variants, headings_by_size)}
 
 ORACLE = {
     "promote_headings": """WITH d AS (SELECT * FROM documents), l AS (SELECT doc_id AS slug, unnest(generate_series(0, len(string_split(text, chr(10))) - 1))::INT AS ln, unnest(string_split(text, chr(10))) AS line FROM d),
@@ -80,4 +102,11 @@ SELECT doc_id, lang, CASE WHEN r <= 10 THEN 'train' ELSE 'dev' END AS part FROM
 SELECT conv_id, turn, coalesce(easy_id, -1) AS easy_id FROM conversations LEFT JOIN r ON conv_id % 10 = a AND turn = b""",
     "label_rollup": "SELECT count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, round(100.0 * count(*) FILTER (quality = 1) / greatest(count(*), 1), 2) AS good_pct, round(100.0 * count(*) FILTER (toxic = 1) / greatest(count(*), 1), 2) AS toxic_pct FROM labels",
     "distinct_queries": "SELECT qid, query FROM (SELECT conv_id * 1000 + turn AS qid, text AS query, row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id * 1000 + turn) AS n FROM conversations) WHERE n = 1",
+    "prompt_variants": " UNION ALL ".join(
+        f"SELECT doc_id, '{name}' AS variant, '{a}' || coalesce(source, '') || '{b}' || substr(coalesce(text, ''), 1, 4000) AS prompt FROM documents" for name, (a, b, _) in ((n, t.split("%s")) for n, t in INSTRUCTIONS.items())
+    ),
+    "headings_by_size": """WITH l AS (SELECT (conv_id % 10)::VARCHAR AS slug, conv_id AS page, turn AS ln, text, CASE WHEN turn = 0 THEN 22.0 WHEN role = 'assistant' THEN 14.0 ELSE 10.0 + conv_id % 3 END::DOUBLE AS size FROM conversations),
+c AS (SELECT slug, size, sum(length(text)) AS chars FROM l GROUP BY slug, size), b AS (SELECT slug, size AS body FROM c QUALIFY row_number() OVER (PARTITION BY slug ORDER BY chars DESC, size) = 1),
+v AS (SELECT slug, size, row_number() OVER (PARTITION BY slug ORDER BY size DESC) AS level FROM c JOIN b USING (slug) WHERE size > body)
+SELECT slug, page, ln, level::INT AS level, trim(text) AS title FROM l JOIN v USING (slug, size) WHERE level <= 3 AND length(text) <= 200 AND trim(text) <> ''""",
 }

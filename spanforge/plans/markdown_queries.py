@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as X
 from spanforge.operators import markdown as M
 from spanforge.session import read_table
+from spanforge.sources import converters
 
 _FENCED = "'```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10)"
 
@@ -112,12 +113,8 @@ def garble_ratio(spark, sf_dir):
 
 def slug_domain(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
-    path = F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1)
-    parts = F.split(path, "/")
-    slug = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
-    domain = F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise("general")
-    suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    return pages.select("page_id", slug.alias("slug"), domain.alias("domain"), suffix.alias("suffix"), X.titleize(slug).alias("title"))
+    found = X.place(F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1))
+    return pages.select("page_id", *[c.alias(n) for n, c in found.items()], X.titleize(found["slug"]).alias("title"))
 
 
 def html_text_extract(spark, sf_dir):
@@ -130,7 +127,14 @@ def html_text_extract(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", X.strip_ws(html).alias("markdown"))
 
 
-QUERIES = {f.__name__: f for f in (clean_markdown, strip_matter, strip_matter_numbered, normalize_headings, normalize_headings_all_lines, demote_headings, balance_fences, toc_inject, extract_sections, chapter_numbering, heading_counts, list_books, get_chapter, last_sentences, garble_ratio, slug_domain, html_text_extract)}
+def html_convert(spark, sf_dir):
+    """Pages through the converter of HTML files."""
+    pages = read_table(spark, sf_dir, "pages")
+    files = pages.select(F.col("page_id").cast("string").alias("slug"), F.lit("web").alias("domain"), F.lit(".html").alias("suffix"), F.encode("html", "UTF-8").alias("content"))
+    return converters.raw_markdown(files).select("slug", "markdown", "error")
+
+
+QUERIES = {f.__name__: f for f in (clean_markdown, strip_matter, strip_matter_numbered, normalize_headings, normalize_headings_all_lines, demote_headings, balance_fences, toc_inject, extract_sections, chapter_numbering, heading_counts, list_books, get_chapter, last_sentences, garble_ratio, slug_domain, html_text_extract, html_convert)}
 
 _JOIN = "string_agg(line, chr(10) ORDER BY ln)"
 _LEVEL = "length(regexp_extract(line, '^(#{1,6})\\s+', 1))"
@@ -198,4 +202,10 @@ SELECT page_id, slug, CASE WHEN len(parts) > 1 THEN parts[1] ELSE 'general' END
 b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<h1[^>]*>', chr(10) || '# ', 'g'), '(?is)<li[^>]*>', chr(10) || '- ', 'g') AS h FROM a),
 c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)</?(p|div|article|h1|ul|ol|body|head|html|title)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS h FROM b),
 d AS (SELECT page_id, regexp_replace(h, '[ \\t]*\\n[ \\t\\n]*', chr(10) || chr(10), 'g') AS h FROM c) SELECT page_id, {_STRIP.format('h')} AS markdown FROM d""",
+    "html_convert": f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(head|script|style|nav|footer)\\b.*?</(head|script|style|nav|footer)>|<!.*?>', '', 'g'), '\\s+', ' ', 'g') AS h FROM
+  (SELECT page_id, regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g') AS html FROM pages)),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<h1>', chr(10) || chr(10) || '# ', 'g'), '</?b>', '**', 'g'), '<br>', chr(10), 'g') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?(p|div|article|body|h1)[^>]*>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g') AS h FROM b),
+d AS (SELECT page_id, replace(replace(regexp_replace(regexp_replace(h, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '&quot;', '"'), '&amp;', '&') AS h FROM c)
+SELECT page_id::VARCHAR AS slug, {_STRIP.format('h')} || chr(10) AS markdown, NULL::VARCHAR AS error FROM d""",
 }

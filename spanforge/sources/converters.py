@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanforge.operators import markdown as M
 
@@ -29,8 +30,13 @@ class _Markdown(HTMLParser):
         self.pre = 0
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            # the end of a head may be left out
+            self.skip = 0
         if tag in _SKIP:
             self.skip += 1
+        elif self.skip:
+            return
         elif re.fullmatch("h[1-6]", tag):
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag == "li":
@@ -52,6 +58,8 @@ class _Markdown(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
+        elif self.skip:
+            return
         elif tag == "pre":
             self.pre = max(0, self.pre - 1)
             self.out.append("\n```\n\n")
@@ -98,11 +106,8 @@ def epub_to_markdown(content: bytes) -> str:
 CONVERTERS: dict[str, Converter] = {".epub": epub_to_markdown, ".html": html_to_markdown, ".htm": html_to_markdown}
 
 
-def convert(files: DataFrame, converters: dict[str, Converter] | None = None) -> DataFrame:
-    """(slug, domain, suffix, markdown, error) of scanned files: converted, cleaned, front and back matter off (EPUB and PDF), headings normalised.
-
-    A file that fails, or whose format has no converter, has an error and no markdown.
-    """
+def raw_markdown(files: DataFrame, converters: dict[str, Converter] | None = None) -> DataFrame:
+    """(slug, domain, suffix, markdown, error) of scanned files as their converters give them; a file that fails, or whose format has no converter, has an error and no markdown."""
     table = CONVERTERS | (converters or {})
 
     def run(batches):
@@ -122,7 +127,12 @@ def convert(files: DataFrame, converters: dict[str, Converter] | None = None) ->
                     errors.append(f"{type(error).__name__}: {error}")
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["slug", "domain", "suffix", "markdown", "error"])
 
-    raw = files.select("slug", "domain", "suffix", "content").mapInArrow(run, "slug string, domain string, suffix string, markdown string, error string")
+    return files.select("slug", "domain", "suffix", "content").mapInArrow(run, "slug string, domain string, suffix string, markdown string, error string")
+
+
+def convert(files: DataFrame, converters: dict[str, Converter] | None = None) -> DataFrame:
+    """(slug, domain, suffix, markdown, error) of scanned files: converted, cleaned, front and back matter off (EPUB and PDF), headings normalised."""
+    raw = raw_markdown(files, converters)
     plain = F.col("suffix").isin(".md", ".markdown")
     cleaned = raw.withColumn("markdown", F.when(plain, F.col("markdown")).otherwise(M.clean_markdown(F.col("markdown"))))
     about = cleaned.select("slug", "domain", "suffix", "error")
@@ -137,3 +147,21 @@ def route_garbled(pages: DataFrame, text: str, fallback: str, limit: float = 0.0
     from spanforge.functions.text import garble_ratio
 
     return pages.withColumn(text, F.when(garble_ratio(F.col(text)) > limit, F.col(fallback)).otherwise(F.col(text)))
+
+
+def recover_pages(pages: DataFrame, cache: str, read, *, limit: float = 0.002, workers: int = 8, attempts: int = 3) -> DataFrame:
+    """Pages (page_id, text, image) with the text that ``read`` finds in the image where too many of theirs are garbled.
+
+    Answers are kept by page in the table at ``cache``, so a page is read once; one that cannot be read keeps its text and is
+    tried again in the next run.
+    """
+    from spanforge.functions.models import fan_out
+    from spanforge.functions.text import garble_ratio
+    from spanforge.sources import sinks
+
+    spark, schema = pages.sparkSession, T.StructType([pages.schema["page_id"], T.StructField("found", T.StringType())])
+    bad = pages.where(garble_ratio(F.col("text")) > limit).select("page_id", "image")
+    todo = bad.join(sinks.stored(spark, cache, schema).select("page_id"), "page_id", "left_anti")
+    sinks.append_new(fan_out(todo, read, "image", "found", workers=workers, attempts=attempts).where("found is not null").select("page_id", "found"), cache, "page_id")
+    known = sinks.stored(spark, cache, schema).join(bad.select("page_id"), "page_id", "left_semi")
+    return pages.join(known, "page_id", "left").withColumn("text", F.coalesce("found", "text")).drop("found")

@@ -21,9 +21,7 @@ def scan_files(spark: SparkSession, root: str, content: bool = True) -> DataFram
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = F.regexp_replace(F.regexp_extract("path", _below(root), 1), "%20", " ")
-    parts = F.split(below, "/")
-    name = F.element_at(parts, -1)
-    rows = files.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("slug"), F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise("general").alias("domain"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("suffix"), *(["content"] if content else []))
+    rows = files.select("path", *[c.alias(n) for n, c in X.place(below).items()], *(["content"] if content else []))
     return rows.where(F.col("suffix").isin(SUFFIXES))
 
 

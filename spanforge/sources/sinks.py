@@ -17,8 +17,9 @@ def stored(spark: SparkSession, path: str, schema) -> DataFrame:
 def append_new(rows: DataFrame, path: str, key: str, partition: str | None = None) -> None:
     """Append the rows whose key is not stored yet; of rows with equal keys one. Rows with a null key are appended each."""
     old = stored(rows.sparkSession, path, rows.schema)
-    keyed = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
-    new = keyed.join(old.select(key), key, "left_anti").select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
+    # one pass over the rows, as they may be answers of a service: rows without a key differ by their place
+    apart = rows.withColumn("_apart", F.when(F.col(key).isNull(), F.monotonically_increasing_id())).dropDuplicates([key, "_apart"])
+    new = apart.join(old.select(key), key, "left_anti").select(*rows.columns)
     writer = new.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 

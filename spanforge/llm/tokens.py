@@ -35,6 +35,8 @@ from spanforge.llm.common import documents, lean, shared_dir, slices
 END_OF_DOCUMENT = 50256
 #: Bytes of a token file that one vectorised search covers.
 BLOCK_BYTES = 1 << 20
+#: Documents of one token file: a task goes on with a further file, so files stay small and are read by tasks of their own.
+DOCS_PER_FILE = 20_000
 #: Units that an encoder remembers before it starts anew.
 MEMO_UNITS = 600_000
 SPECIAL = "<|endoftext|>"
@@ -125,11 +127,11 @@ def encoder() -> UnitEncoder:
     return _encoder
 
 
-def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", eod: int = END_OF_DOCUMENT) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", eod: int = END_OF_DOCUMENT, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
     """Write the texts of ``docs`` as flat token files under ``path``; returns their order as (file_no, document, id).
 
-    Each task writes one file through Spark's own writer: the row separator is the
-    end-of-document id. ``docs`` must be read from storage (no shuffle between), so
+    Each task writes files of ``docs_per_file`` documents through Spark's own writer: the row separator is the
+    end-of-document id. ``document`` counts on over a task's files. ``docs`` must be read from storage (no shuffle between), so
     that its partitions are the same when the order is read.
     """
     separator = int(eod).to_bytes(2, "little").decode("latin-1")
@@ -148,7 +150,7 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     tokens = rows.mapInArrow(lean(encode), "value binary").select(F.col("value").cast("string").alias("value"))
-    tokens.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+    tokens.write.option("maxRecordsPerFile", docs_per_file).option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
     at = F.monotonically_increasing_id()
     return docs.select(F.shiftright(at, 33).cast("int").alias("file_no"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("document"), F.col(id_col).alias(id_col))
 
@@ -161,11 +163,12 @@ def scan_block(ids: np.ndarray, eod: int) -> tuple[int, int, list[int]]:
     return len(ends), int(ends[-1]), np.diff(ends, prepend=-1).__sub__(1).tolist()
 
 
-def scan_token_files(spark, path: str, *, eod: int = END_OF_DOCUMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan_token_files(spark, path: str, *, eod: int = END_OF_DOCUMENT, block_bytes: int = BLOCK_BYTES, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
     """Documents of the flat token files under ``path``: (file_no, file, document, n_tokens, closed).
 
-    ``document`` counts from 0 in each file; ``file_no`` is the number in a Spark
-    part file's name, or null. A file is one task's input and must fit a worker (2 GiB at most).
+    ``document`` counts from 0 in each file, or over the files of one task where Spark's names
+    tell them; ``file_no`` is the task's number in such a name, or null. A file is one task's input: one that was not
+    written here must not exceed 2 GiB.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     step = max(2, block_bytes // 2 * 2)
@@ -197,12 +200,13 @@ def scan_token_files(spark, path: str, *, eod: int = END_OF_DOCUMENT, block_byte
             "all": F.sum("n").over(whole),
         }
     )
-    number = F.regexp_extract("file", r"part-(\d+)", 1)
+    number, further = F.regexp_extract("file", r"part-(\d+)", 1), F.regexp_extract("file", r"part-\d+-.*-c(\d+)\.[^/]*$", 1)
     file_no = F.when(number != "", number.cast("int")).alias("file_no")
+    before_file = F.when(further != "", further.cast("long") * docs_per_file).otherwise(0)
     closed = stitched.select(file_no, "file", "base", "carry", F.posexplode("lengths").alias("i", "n")).select(
-        "file_no", "file", (F.col("base") + F.col("i")).alias("document"), (F.col("n") + F.when(F.col("i") == 0, F.col("carry")).otherwise(0)).alias("n_tokens"), F.lit(True).alias("closed")
+        "file_no", "file", (before_file + F.col("base") + F.col("i")).alias("document"), (F.col("n") + F.when(F.col("i") == 0, F.col("carry")).otherwise(0)).alias("n_tokens"), F.lit(True).alias("closed")
     )
-    rest = stitched.where("block = 0 and open > 0").select(file_no, "file", F.col("all").alias("document"), F.col("open").alias("n_tokens"), F.lit(False).alias("closed"))
+    rest = stitched.where("block = 0 and open > 0").select(file_no, "file", (before_file + F.col("all")).alias("document"), F.col("open").alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.unionByName(rest)
 
 

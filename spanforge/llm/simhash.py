@@ -3,8 +3,8 @@
 Fingerprints are compared as distinct values: copies never meet. Two fingerprints
 that differ in at most ``radius`` bits agree in one of ``radius`` + 1 blocks of
 bits, so each is filed once per block. A crowded file is dealt out again by blocks
-of the remaining bits, to any number of levels, so no task holds a file that grows with the
-corpus unless its members differ in no other bits. Within a file the bit planes
+of the remaining bits, up to four levels, after which so few bits are left that no file
+grows with the corpus. Within a file the bit planes
 of 64 members stand in one word each; the distances of a query to 64 members
 are counted at once with carry-save counters, and a word is abandoned once
 all 64 exceed the radius. A file gives its spanning forest, not its pairs.
@@ -30,6 +30,8 @@ WORDS = 3
 SEED = 42
 #: Members of one file above which it is dealt out by further blocks.
 CROWDED = 20_000
+#: Levels of files; the last is compared whatever its files hold.
+LEVELS = 4
 #: (query, word) comparisons that are held at once.
 _TASKS = 1 << 15
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -171,8 +173,12 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(fps: DataFrame, *, fp: str = "fp", radius: int = RADIUS, crowded: int = CROWDED, levels: int = 3) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct ``fps`` within ``radius`` bits."""
+def links(fps: DataFrame, *, fp: str = "fp", radius: int = RADIUS, crowded: int = CROWDED, levels: int = LEVELS) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of distinct ``fps`` within ``radius`` bits.
+
+    At the default radius and levels no file holds over 16,384 values, however many fingerprints there are: the members of a file at
+    the fourth level agree in at least 50 of 64 bits.
+    """
     masks = _masks(radius, levels)
     rows = fps.select(F.col(fp).alias("v")).withColumn("_at", F.explode(F.array(*[F.lit(k) for k in range(len(masks[0]))])))
     out = None

@@ -80,9 +80,9 @@ def test_special_strings_and_memo_limits():
 def test_token_counts(spark, odd, tmp_path):
     library = _library()
     want = {r["doc_id"]: len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd.collect()}
-    order = tokens.write_token_files(odd, str(tmp_path / "t"))
+    order = tokens.write_token_files(odd, str(tmp_path / "t"), docs_per_file=3)
     for size in (2, 64, 1 << 20):
-        found = tokens.scan_token_files(spark, str(tmp_path / "t"), block_bytes=size)
+        found = tokens.scan_token_files(spark, str(tmp_path / "t"), block_bytes=size, docs_per_file=3)
         got = order.join(found, ["file_no", "document"], "full")
         assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == want
 
@@ -312,6 +312,11 @@ def test_bit_sliced_pairs(radius):
     assert set(zip(i.tolist(), j.tolist())) == want
 
 
+def test_files_of_the_last_level_are_bounded():
+    left = [64 - simhash._union(path).bit_count() for path in simhash._masks(simhash.RADIUS, simhash.LEVELS)[-1]]
+    assert 1 << max(left) <= simhash.CROWDED
+
+
 @pytest.mark.parametrize("crowded", [20_000, 2])
 def test_components_of_fingerprints(spark, crowded):
     rng = random.Random(5)

@@ -49,6 +49,44 @@ class HashingEmbedder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def _by_task(model, texts: list[str], kind: str):
+    return model.encode(texts, task=f"retrieval.{kind}")
+
+
+def _by_method(model, texts: list[str], kind: str):
+    return (model.encode_query if kind == "query" else model.encode_document)(texts)
+
+
+def _mean_of_tokens(model, texts: list[str], kind: str):
+    """The unit mean of a text's token vectors; queries and passages alike."""
+    means = np.array([np.asarray(model.token_vectors(t)).mean(axis=0) for t in texts])
+    return means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+
+
+#: How models are told queries from passages.
+IDIOMS = {"task": _by_task, "method": _by_method, "mean": _mean_of_tokens}
+
+
+class ModelEmbedder:
+    """An embedder over a model that ``load`` gives, spoken to in one of ``IDIOMS``; each Python worker loads it once, on first use."""
+
+    def __init__(self, load: Callable[[], object], idiom: str, dim: int, max_chars: int = 8000):
+        if idiom not in IDIOMS:
+            raise ValueError(f"unknown idiom {idiom}")
+        self.load, self.idiom, self.dim, self.max_chars, self._model = load, idiom, dim, max_chars, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_model": None}
+
+    def encode(self, texts: list[str], kind: str = "passage") -> np.ndarray:
+        if kind not in ("query", "passage"):
+            raise ValueError(f"unknown kind {kind}")
+        if self._model is None:
+            self._model = self.load()
+        cut = [(t or "")[: self.max_chars] for t in texts]
+        return np.asarray(IDIOMS[self.idiom](self._model, cut, kind)) if cut else np.zeros((0, self.dim))
+
+
 class LexicalReranker:
     """Ten times the share of the query's distinct terms that a text holds."""
 

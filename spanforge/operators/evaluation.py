@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
+import time
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -218,3 +221,19 @@ def mde_table(spark, sd: float, n: int, rhos: list[float]) -> DataFrame:
     rows = spark.createDataFrame([(r,) for r in rhos], "rho double")
     spread = F.lit(float(sd)) * F.sqrt(2 * (1 - F.col("rho")))
     return rows.select("rho", F.round(spread, 4).alias("sd_delta"), F.round(2.802 * spread / math.sqrt(n), 4).alias("mde"))
+
+
+def latency(call: Callable, inputs: Iterable, warm: int = 1) -> dict[str, float]:
+    """Median, mean and 90th percentile of the milliseconds that calls take, one after another; the first ``warm`` inputs are called once before."""
+    inputs = list(inputs)
+    for value in inputs[:warm]:
+        call(value)
+    taken = []
+    for value in inputs:
+        start = time.perf_counter()
+        call(value)
+        taken.append((time.perf_counter() - start) * 1000)
+    if not taken:
+        return {"n": 0}
+    taken.sort()
+    return {"n": len(taken), "median": round(statistics.median(taken), 1), "mean": round(statistics.mean(taken), 1), "p90": round(taken[min(len(taken) - 1, int(0.9 * len(taken)))], 1)}

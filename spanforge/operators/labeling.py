@@ -117,6 +117,17 @@ def round_robin(rows: DataFrame, batches: int, order: str) -> DataFrame:
     return ranged.join(starts, "_p").withColumn("batch", ((F.col("_s") + F.col("_i")) % batches).cast("int")).drop("_p", "_i", "_s")
 
 
+def blind(rows: DataFrame, key: str, query: str = "query", text: str = "candidate_text") -> DataFrame:
+    """What a judge sees of graded rows: no grade and nothing that tells it."""
+    return rows.select(F.col(key).alias("idx"), F.col(query).alias("query"), F.col(text).alias("candidate_text"))
+
+
+def audit_rows(sample: DataFrame, found: DataFrame, easy: DataFrame, key: str = "query_id") -> DataFrame:
+    """Sampled queries that were retrieved for, with their candidates (key, candidates) and, where there is one, the easier query (key, easy_query)."""
+    rows = sample.join(found.select(key, "candidates"), key).join(easy.select(key, "easy_query"), key, "left")
+    return rows.withColumn("easy_query", F.coalesce("easy_query", F.lit("")))
+
+
 def reconcile(golden: DataFrame, live: DataFrame, ids: str = "positive_ids") -> DataFrame:
     """Queries with their ids that are still live (id), in their order; queries left without any go."""
     rows = golden.select("query_id", F.posexplode(ids).alias("at", "id")).join(live.select("id"), "id", "left_semi")

@@ -212,3 +212,25 @@ def neighbours(chunks: DataFrame, window: int, *, parent: str = "parent_id", ord
     """Each chunk with the ids of up to ``window`` chunks before and after it in its parent."""
     w = Window.partitionBy(parent).orderBy(order)
     return chunks.select(item, parent, F.collect_list(item).over(w.rowsBetween(-window, -1)).alias("previous"), F.collect_list(item).over(w.rowsBetween(1, window)).alias("next"))
+
+
+def payload(children: DataFrame, parents: DataFrame, books: DataFrame) -> DataFrame:
+    """What is stored beside a child's vector: its texts, its parent's text and its place; what a chunk file leaves out is empty, a missing title is the book's own, a missing kind prose."""
+    about = ["chapter", "chapter_title", "section", "heading_path"]
+    rows = children.join(parents.select("parent_id", F.col("text").alias("parent_text")), "parent_id", "left").join(books.select(F.col("slug").alias("book"), F.col("title").alias("_title")), "book", "left")
+    return rows.select(
+        "child_id",
+        "parent_id",
+        F.col("text").alias("child_text"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("context_text", "parent_text")],
+        "book",
+        F.coalesce("book_title", "_title", "book").alias("book_title"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in about],
+        F.coalesce("chunk_type", F.lit("prose")).alias("chunk_type"),
+    )
+
+
+def with_passages(queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """Queries (query_id, text) with the hypothetical passage (query_id, hyde) that was written for them, the query's own text where there is none."""
+    found = queries.join(passages.groupBy("query_id").agg(F.min("hyde").alias("hyde")), "query_id", "left")
+    return found.withColumn("hyde", F.coalesce(F.nullif(F.trim("hyde"), F.lit("")), "text"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import evaluation as E
 from spanforge.operators import labeling as L
+from spanforge.operators import retrieval as R
 from spanforge.plans.retrieval_queries import dense_topk
 from spanforge.session import read_table
 from spanforge.sources import sinks
@@ -61,7 +62,36 @@ def corpus_totals(spark, sf_dir):
     return sinks.totals(parents=conv.where("turn = 0"), children=conv, vectors=read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (grade_histogram, judge_sample, route_pools, archetype_slices, negative_pool, rerank_moves, score_at_10, unpaired_counts, corpus_totals)}
+def point_payload(spark, sf_dir):
+    """Turns as children of their conversation; every third has no texts beside its own, every fifth book no title."""
+    conv = read_table(spark, sf_dir, "conversations")
+    book = F.concat(F.lit("b"), (F.col("conv_id") % 10).cast("string"))
+    some = F.when(F.col("turn") % 3 != 0, F.col("role"))
+    children = conv.select(F.concat_ws("-", "conv_id", "turn").alias("child_id"), F.col("conv_id").alias("parent_id"), "text", some.alias("context_text"), book.alias("book"), F.lit(None).cast("string").alias("book_title"), some.alias("chapter"), some.alias("chapter_title"), some.alias("section"), some.alias("heading_path"), F.when(F.col("turn") % 2 == 0, "code").alias("chunk_type"))
+    parents = conv.where("turn = 1").select(F.col("conv_id").alias("parent_id"), "text")
+    books = conv.select(book.alias("slug")).distinct().where("slug not in ('b0', 'b5')").withColumn("title", F.upper("slug"))
+    return R.payload(children, parents, books)
+
+
+def query_passages(spark, sf_dir):
+    queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    passages = read_table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(" ").alias("hyde"))
+    return R.with_passages(queries, passages).select("query_id", "hyde")
+
+
+def blind_rows(spark, sf_dir):
+    return L.blind(_graded(spark, sf_dir).withColumn("query", F.col("query_id").cast("string")), "id", text="text")
+
+
+def audit_sample(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    sample = L.per_grade(_graded(spark, sf_dir), 30).select(F.col("id").alias("query_id"), "grade")
+    found = docs.where("doc_id % 4 <> 1").select(F.col("doc_id").alias("query_id"), F.concat_ws("/", "source", "lang").alias("candidates"))
+    easy = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("easy_query"))
+    return L.audit_rows(sample, found, easy)
+
+
+QUERIES = {f.__name__: f for f in (grade_histogram, judge_sample, route_pools, archetype_slices, negative_pool, rerank_moves, score_at_10, unpaired_counts, corpus_totals, point_payload, query_passages, blind_rows, audit_sample)}
 
 _GRADED = "g AS (SELECT doc_id AS id, doc_id // 10 AS query_id, doc_id % 7 % 3 AS grade, doc_id % 10 = 0 AS gold, CASE WHEN doc_id % 13 <> 0 THEN text END AS text FROM documents)"
 _DENSE = "t AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t), d AS (SELECT * FROM r WHERE rank <= 50)"
@@ -86,4 +116,11 @@ SELECT id, book, false AS filled FROM c UNION ALL SELECT id, book, true FROM r J
     "unpaired_counts": """WITH a AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), b AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0)
 SELECT (SELECT count(*) FROM a SEMI JOIN b USING (doc_id)) AS n_both, (SELECT count(*) FROM a ANTI JOIN b USING (doc_id)) AS n_a_only, (SELECT count(*) FROM b ANTI JOIN a USING (doc_id)) AS n_b_only""",
     "corpus_totals": "SELECT 'parents' AS name, count(*) AS n FROM conversations WHERE turn = 0 UNION ALL SELECT 'children', count(*) FROM conversations UNION ALL SELECT 'vectors', count(*) FROM embeddings",
+    "point_payload": """WITH c AS (SELECT conv_id || '-' || turn AS child_id, conv_id AS parent_id, text AS child_text, CASE WHEN turn % 3 <> 0 THEN role ELSE '' END AS said, 'b' || conv_id % 10 AS book, CASE WHEN turn % 2 = 0 THEN 'code' ELSE 'prose' END AS chunk_type FROM conversations),
+p AS (SELECT conv_id AS parent_id, text AS parent_text FROM conversations WHERE turn = 1)
+SELECT child_id, parent_id, child_text, said AS context_text, coalesce(parent_text, '') AS parent_text, book, CASE WHEN book IN ('b0', 'b5') THEN book ELSE upper(book) END AS book_title, said AS chapter, said AS chapter_title, said AS section, said AS heading_path, chunk_type FROM c LEFT JOIN p USING (parent_id)""",
+    "query_passages": "SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 AND trim(d.text) <> '' THEN d.text ELSE b.text END AS hyde FROM benchmark b LEFT JOIN documents d ON d.doc_id = item_id",
+    "blind_rows": f"WITH {_GRADED} SELECT id AS idx, query_id::VARCHAR AS query, text AS candidate_text FROM g",
+    "audit_sample": f"""WITH {_GRADED}, s AS (SELECT id, grade FROM g WHERE NOT gold AND trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY grade ORDER BY sha256('42' || id), id) <= 10)
+SELECT id AS query_id, grade, source || '/' || lang AS candidates, CASE WHEN id % 3 = 0 THEN lang ELSE '' END AS easy_query FROM s JOIN documents ON doc_id = id WHERE id % 4 <> 1""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,33 @@ def append_new(rows: DataFrame, path: str, key: str, partition: str | None = Non
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def append_in_parts(rows: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame], parts: int) -> None:
+    """``make`` of the rows, appended in ``parts`` portions by the key's hash: after a failure a further run makes only what is not stored yet."""
+    place = F.pmod(F.xxhash64(key), F.lit(parts))
+    for part in range(parts):
+        some = rows.where(place == part)
+        done = stored(rows.sparkSession, path, make(rows.limit(0)).schema).select(key)
+        append_new(make(some.join(done, key, "left_anti")), path, key)
+
+
+def rewrite_with_backup(rows: DataFrame, path: str, backup: str) -> None:
+    """The table at ``path`` becomes ``rows``, which may be read from it; the table before stands at ``backup``, where an older one is kept instead.
+
+    The new table is complete before a name changes.
+    """
+    spark = rows.sparkSession
+    made = f"{path.rstrip('/')}.new"
+    rows.write.mode("overwrite").parquet(made)
+    old, new, kept = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, made, backup))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(kept):
+        files.delete(old, True)
+    elif files.exists(old) and not files.rename(old, kept):
+        raise OSError(f"{path} could not be moved to {backup}")
+    if not files.rename(new, old):
+        raise OSError(f"{made} could not be moved to {path}")
+
+
 def replace_partitions(rows: DataFrame, path: str, partition: str) -> None:
     """Overwrite just the partitions that ``rows`` has: an upsert by book."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

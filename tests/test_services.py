@@ -106,3 +106,71 @@ def test_folds_against_sql(markdown):
         got = con.execute(sql[:start] + "md AS (SELECT * FROM book), " + sql[end:])
         names = [d[0] for d in got.description]
         assert sorted(map(repr, got.fetchall())) == sorted(repr(tuple(r[n] for n in names)) for r in rows)
+
+
+class _Model:
+    def encode(self, texts, task):
+        return [[len(t), len(task)] for t in texts]
+
+    def encode_query(self, texts):
+        return [[1.0, 0.0] for _ in texts]
+
+    def encode_document(self, texts):
+        return [[0.0, 1.0] for _ in texts]
+
+    def token_vectors(self, text):
+        return [[3.0, 0.0], [3.0, 8.0]]
+
+
+def test_idioms(spark):
+    task = models.ModelEmbedder(_Model, "task", 2, max_chars=3)
+    assert task.encode(["abcdef", None], "query").tolist() == [[3, 15], [0, 15]]
+    method = models.ModelEmbedder(_Model, "method", 2)
+    assert method.encode(["a"], "query").tolist() == [[1, 0]] and method.encode(["a"]).tolist() == [[0, 1]]
+    assert models.ModelEmbedder(_Model, "mean", 2).encode(["a"]).round(6).tolist() == [[0.6, 0.8]]
+    assert task.encode([]).shape == (0, 2)
+    for wrong in (lambda: models.ModelEmbedder(_Model, "other", 2), lambda: task.encode(["a"], "title")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_a_failed_run_goes_on(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spanforge.sources import sinks
+
+    path, calls = str(tmp_path / "t"), []
+
+    def make(some):
+        calls.append(some)
+        if len(calls) == 6:
+            raise RuntimeError("lost")
+        return some.withColumn("v", F.col("k") * 2)
+
+    rows = spark.range(40).withColumnRenamed("id", "k")
+    with pytest.raises(RuntimeError):
+        sinks.append_in_parts(rows, path, "k", make, 4)
+    before = spark.read.parquet(path).count()
+    assert 0 < before < 40
+    sinks.append_in_parts(rows, path, "k", make, 4)
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [2 * k for k in range(40)]
+
+
+def test_rewrite_keeps_the_first_backup(spark, tmp_path):
+    from spanforge.sources import sinks
+
+    path, backup = str(tmp_path / "t"), str(tmp_path / "b")
+    spark.range(5).write.parquet(path)
+    for least in (2, 4):
+        sinks.rewrite_with_backup(spark.read.parquet(path).where(f"id >= {least}"), path, backup)
+    assert [r["id"] for r in spark.read.parquet(path).collect()] == [4]
+    assert spark.read.parquet(backup).count() == 5
+
+
+def test_latency():
+    from spanforge.operators import evaluation
+
+    seen = []
+    got = evaluation.latency(seen.append, ["a", "b", "c"], warm=2)
+    assert seen == ["a", "b", "a", "b", "c"] and got["n"] == 3 and got["median"] <= got["p90"]
+    assert evaluation.latency(seen.append, []) == {"n": 0}

@@ -100,6 +100,20 @@ def test_no_spread_gives_no_error(spark):
     assert E.wilcoxon_sums(pairs).first()["z"] == 0.0
 
 
+def test_bootstrap_replays_one_generator(spark):
+    import random
+
+    values = [0.4, -0.1, 0.0, 0.25, 0.3, -0.2, 0.1]
+    got = E.bootstrap_ci(spark.createDataFrame(list(enumerate(values)), "query_id int, delta double"), resamples=400).first()
+    rng = random.Random(42)
+    means = []
+    for _ in range(400):
+        drawn = rng.choices(values, k=len(values))
+        means.append(sum(drawn) / len(values))
+    means.sort()
+    assert (got["n"], got["low"], got["high"]) == (len(values), means[10], means[390]) and got["mean"] == pytest.approx(sum(values) / len(values))
+
+
 def test_bootstrap_is_repeatable(spark):
     pairs = spark.createDataFrame([(i, float(i % 3)) for i in range(30)], "query_id int, delta double")
     assert E.bootstrap_ci(pairs, resamples=200).collect() == E.bootstrap_ci(pairs, resamples=200).collect()

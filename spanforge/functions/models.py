@@ -95,6 +95,23 @@ class LexicalReranker:
         return [10.0 * len(q & set(_TERM.findall((t or "").lower()))) / max(1, len(q)) for t in texts]
 
 
+class ModelReranker:
+    """A reranker over a model that scores pairs (``predict``); each Python worker loads it once, on first use."""
+
+    def __init__(self, load: Callable[[], object]):
+        self.load, self._model = load, None
+
+    def __getstate__(self):
+        return {"load": self.load, "_model": None}
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        if not texts:
+            return []
+        if self._model is None:
+            self._model = self.load()
+        return [float(x) for x in self._model.predict([(query, t or "") for t in texts])]
+
+
 def embed_column(rows: DataFrame, text: str, embedder: Embedder, out: str = "embedding", kind: str = "passage") -> DataFrame:
     @F.pandas_udf("array<double>")
     def run(texts):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import statistics
 import time
 from collections.abc import Callable, Iterable
@@ -237,3 +238,20 @@ def latency(call: Callable, inputs: Iterable, warm: int = 1) -> dict[str, float]
         return {"n": 0}
     taken.sort()
     return {"n": len(taken), "median": round(statistics.median(taken), 1), "mean": round(statistics.mean(taken), 1), "p90": round(taken[min(len(taken) - 1, int(0.9 * len(taken)))], 1)}
+
+
+def extractor_table(extractors: dict[str, Callable[[bytes], str]], content: bytes, first: int = 5) -> list[dict]:
+    """For each extractor of a document's markdown the seconds it took, its headings by level and the first of them; one that fails has an ``error``."""
+    out = []
+    for name, extract in extractors.items():
+        start = time.perf_counter()
+        try:
+            lines = extract(content).split("\n")
+        except Exception as error:
+            out.append({"name": name, "error": f"{type(error).__name__}: {error}"})
+            continue
+        seconds = round(time.perf_counter() - start, 3)
+        heads = [line for line in lines if re.match(r"#{1,3}\s+\S", line)]
+        counts = {f"h{n}": sum(line.startswith("#" * n) and line[n].isspace() for line in heads) for n in (1, 2, 3)}
+        out.append({"name": name, "seconds": seconds, **counts, "first": heads[:first]})
+    return out

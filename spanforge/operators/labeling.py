@@ -95,6 +95,28 @@ def sliced_then_capped(rows: DataFrame, caps: dict[str, int], factor: int, keep:
     return passed.where(F.col("_n") <= F.element_at(limits, F.col("part"))).drop("_r", "_n")
 
 
+def distinct_then_capped(rows: DataFrame, caps: dict[str, int], factor: int, *, text: str = "query", part: str = "part", order: str = "id") -> DataFrame:
+    """Rows taken in order while their part's cap is not reached and no row taken before has the same text, case aside.
+
+    Whether a text is new depends on what was taken, so the first ``factor`` x cap rows of each part, a number that does not grow
+    with the table, are gone through in one task; null texts and parts without a cap are not taken.
+    """
+    limits = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
+    place = F.row_number().over(Window.partitionBy(part).orderBy(order))
+    few = rows.where(F.col(part).isin(list(caps)) & F.col(text).isNotNull()).withColumn("_n", place).where(F.col("_n") <= factor * F.element_at(limits, F.col(part))).drop("_n")
+
+    def take(frame):
+        seen, left, kept = set(), dict(caps), []
+        for said, of in zip(frame.sort_values(order)[text].str.lower(), frame.sort_values(order)[part]):
+            kept.append(left[of] > 0 and said not in seen)
+            if kept[-1]:
+                left[of] -= 1
+                seen.add(said)
+        return frame.sort_values(order)[kept]
+
+    return few.groupBy().applyInPandas(take, few.schema)
+
+
 def filled_pool(chosen: DataFrame, chunks: DataFrame, total: int, *, stratum: str = "book", seed: str = "42") -> DataFrame:
     """``chosen`` (id, parent_id, ...) and, up to ``total`` rows, further chunks by their strata's shares, one for each parent that has none yet."""
     one = chunks.groupBy("parent_id").agg(F.min_by(F.struct("id", stratum), hash_order(F.col("id"), seed)).alias("c")).select("parent_id", "c.id", f"c.{stratum}")

@@ -91,7 +91,13 @@ def audit_sample(spark, sf_dir):
     return L.audit_rows(sample, found, easy)
 
 
-QUERIES = {f.__name__: f for f in (grade_histogram, judge_sample, route_pools, archetype_slices, negative_pool, rerank_moves, score_at_10, unpaired_counts, corpus_totals, point_payload, query_passages, blind_rows, audit_sample)}
+def distinct_slices(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    rows = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("part"), F.initcap(F.substring("text", 1, 3)).alias("query"))
+    return L.distinct_then_capped(rows, {"user": 12, "assistant": 7}, 3)
+
+
+QUERIES = {f.__name__: f for f in (grade_histogram, judge_sample, route_pools, archetype_slices, negative_pool, rerank_moves, score_at_10, unpaired_counts, corpus_totals, point_payload, query_passages, blind_rows, audit_sample, distinct_slices)}
 
 _GRADED = "g AS (SELECT doc_id AS id, doc_id // 10 AS query_id, doc_id % 7 % 3 AS grade, doc_id % 10 = 0 AS gold, CASE WHEN doc_id % 13 <> 0 THEN text END AS text FROM documents)"
 _DENSE = "t AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t), d AS (SELECT * FROM r WHERE rank <= 50)"
@@ -123,4 +129,10 @@ SELECT child_id, parent_id, child_text, said AS context_text, coalesce(parent_te
     "blind_rows": f"WITH {_GRADED} SELECT id AS idx, query_id::VARCHAR AS query, text AS candidate_text FROM g",
     "audit_sample": f"""WITH {_GRADED}, s AS (SELECT id, grade FROM g WHERE NOT gold AND trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY grade ORDER BY sha256('42' || id), id) <= 10)
 SELECT id AS query_id, grade, source || '/' || lang AS candidates, CASE WHEN id % 3 = 0 THEN lang ELSE '' END AS easy_query FROM s JOIN documents ON doc_id = id WHERE id % 4 <> 1""",
+    "distinct_slices": """WITH RECURSIVE a AS (SELECT conv_id * 1000 + turn AS id, role AS part, CASE role WHEN 'user' THEN 12 WHEN 'assistant' THEN 7 END AS cap, array_to_string(list_transform(string_split(lower(substr(text, 1, 3)), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS query FROM conversations),
+b AS (SELECT * FROM a WHERE cap IS NOT NULL AND query IS NOT NULL QUALIFY row_number() OVER (PARTITION BY part ORDER BY id) <= 3 * cap), o AS (SELECT *, row_number() OVER (ORDER BY id) AS pos FROM b),
+f AS (SELECT 0::BIGINT AS pos, []::VARCHAR[] AS seen, []::VARCHAR[] AS parts, false AS taken UNION ALL
+  SELECT o.pos, CASE WHEN t THEN list_append(seen, lower(query)) ELSE seen END, CASE WHEN t THEN list_append(parts, part) ELSE parts END, t
+  FROM (SELECT o.*, f.seen, f.parts, NOT list_contains(f.seen, lower(o.query)) AND len(list_filter(f.parts, lambda x: x = o.part)) < o.cap AS t FROM f JOIN o ON o.pos = f.pos + 1) o)
+SELECT id, part, query FROM o JOIN f USING (pos) WHERE taken""",
 }

@@ -174,3 +174,38 @@ def test_latency():
     got = evaluation.latency(seen.append, ["a", "b", "c"], warm=2)
     assert seen == ["a", "b", "a", "b", "c"] and got["n"] == 3 and got["median"] <= got["p90"]
     assert evaluation.latency(seen.append, []) == {"n": 0}
+
+
+def test_model_reranker_loads_once():
+    import pickle
+
+    loaded = []
+
+    class Pairs:
+        def predict(self, pairs):
+            return [len(a) + len(b) for a, b in pairs]
+
+    def load():
+        loaded.append(1)
+        return Pairs()
+
+    reranker = models.ModelReranker(load)
+    assert reranker.score("q", []) == [] and not loaded
+    assert reranker.score("q", ["ab", None]) == [3.0, 1.0] and reranker.score("q", ["a"]) == [2.0] and len(loaded) == 1
+    assert pickle.loads(pickle.dumps(models.ModelReranker(_Model)))._model is None
+
+
+def test_extractors_side_by_side():
+    from spanforge.operators import evaluation
+
+    got = evaluation.extractor_table({"good": lambda c: c.decode(), "bad": lambda c: 1 / 0}, b"# A\ntext\n## B\n### C\n#### D\n#x")
+    assert {k: got[0][k] for k in ("name", "h1", "h2", "h3", "first")} == {"name": "good", "h1": 1, "h2": 1, "h3": 1, "first": ["# A", "## B", "### C"]}
+    assert got[1]["error"].startswith("ZeroDivisionError")
+
+
+def test_capped_text_may_come_back_in_another_part(spark):
+    from spanforge.operators import labeling
+
+    rows = spark.createDataFrame([(1, "a", "X"), (2, "a", "y"), (3, "b", "Y"), (4, "b", "x"), (5, "c", "z"), (6, "b", None)], "id int, part string, query string")
+    assert sorted(r["id"] for r in labeling.distinct_then_capped(rows, {"a": 1, "b": 2}, 3).collect()) == [1, 3]
+    assert labeling.distinct_then_capped(rows.limit(0), {"a": 1}, 3).count() == 0

@@ -41,6 +41,8 @@ from spanforge.llm.common import documents, lean, materialise, scratch, slices
 WINDOW = 400
 #: Bytes of a string that counts as a repeated passage: just over 50 words are longer in nearly all cases, and often shorter than ``WINDOW``.
 PASSAGE = 180
+#: Words that a passage holds at least.
+PASSAGE_WORDS = 51
 #: Bytes of a gram, 2 to the number of odd factors below.
 GRAM = 32
 SHALLOW = 32
@@ -574,12 +576,13 @@ def op2_suffix_array_dedup(spark, sf_dir):
     """Contract query: bytes removed from each document and the digest of what is left.
 
     ``n_passage_bytes`` beside them counts the bytes covered by strings of ``PASSAGE`` bytes that repeat, none of which is removed for that:
-    passages of just over 50 words are mostly met by it and often too short for the contract's strings.
+    passages of just over 50 words are mostly met by it and often too short for the contract's strings. ``n_passages`` counts the runs of such bytes that
+    hold at least ``PASSAGE_WORDS`` words, those that are cut at its ends included.
     """
     docs = documents(spark, sf_dir).select("doc_id", "text")
     keyed = keyed_texts(docs).select(F.col("row.doc_id").alias("row"), "uid", "k1", "k2", "body")
     joined = _joined(_squeezed_rows(keyed), nested_spans(keyed))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages"]
 
     def run(batches):
         import zstandard
@@ -591,11 +594,12 @@ def op2_suffix_array_dedup(spark, sf_dir):
                 for z, whole, spans, wide in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3, 4)]):
                     body = unpack(z)
                     kept, runs = cut_spans(body, whole and len(body) >= WINDOW, wide)
-                    passages = len(body) - len(cut_spans(body, whole, spans)[0])
-                    rows.append((len(body), len(body) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), passages))
-                cols = list(zip(*rows)) if rows else [[]] * 5
+                    rest, again = cut_spans(body, whole, spans)
+                    passages = sum(len(body[low:high].split()) >= PASSAGE_WORDS for low, high in again)
+                    rows.append((len(body), len(body) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), len(body) - len(rest), passages))
+                cols = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
 
-    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64()]
+    kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.StringType() if n == "kept_sha256" else T.LongType()) for n in names[1:]]])
     return joined.select("row", "z", "whole", "spans", "wide").mapInArrow(lean(run), schema)

@@ -277,6 +277,21 @@ def test_passages_of_over_50_words(spark, tmp_path):
     assert any(not out[i]["n_removed"] for i in range(40))
 
 
+def test_passages_are_counted_by_words(spark, tmp_path):
+    """50 words or a few long ones are no passage; 51 are, also as a whole text, twice in one text or beside another."""
+    rng = random.Random(14)
+
+    def words(n, least=3):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(least, least + 4))) for _ in range(n))
+
+    few, long, one, two, copy, short = words(50), words(20, 12), words(51), words(51), words(60), words(40, 5)
+    texts = [f"0 {few} 1", f"2 {few} 3", f"4 {long} 5", f"6 {long} 7", f"8 {one} 9 {two} A", f"B {one} C", f"D {two} E {two} F", copy, copy, short, short, words(90), None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in suffix.op2_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert [out[i]["n_passages"] for i in range(len(texts))] == [0, 0, 0, 0, 2, 1, 2, 1, 1, 0, 0, 0, 0, 0]
+    assert [i for i in range(len(texts)) if not out[i]["n_passage_bytes"]] == [11, 12, 13]
+
+
 @pytest.mark.parametrize("crowded", [20_000, 1])
 def test_nested_lengths(stored, crowded):
     """Long strings are found within the runs of short ones: runs that only short strings make up, copies, copies of parts of copies, single texts."""
